@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import WHITE
 from quillstone.llm.mixing import mix_report, mix_sources
+from quillstone.llm.neighbours import most_similar, similar_pairs
 from quillstone.llm.split import split_oversized
 from quillstone.llm.terms import marked_terms
 from quillstone.llm.tokens import token_ids
@@ -21,6 +22,14 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     return marked_terms(table(spark, folder, "term_hits"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "records"))
+
+
+def p4_similar(spark: SparkSession, folder: str) -> DataFrame:
+    return most_similar(table(spark, folder, "records"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     # Every oversized item has a first piece.
     return split_oversized(table(spark, folder, "clauses")).filter("piece_no = 0").select("doc_id", "item_no")
@@ -47,10 +56,19 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(*mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_similar, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report)}
 
 _WHITE = "||".join(f"chr({ord(c)})" for c in WHITE)
 ORACLES = {
+    "p4_found": """
+        with cur as (select * from records where doc_id is not null
+                     qualify row_number() over (partition by doc_id order by indexed_at desc nulls last, row_id desc) = 1),
+        v as (select doc_id, list_transform(dense_vector, lambda x: x::double) as v from cur
+              where len(dense_vector) = 64 and len(list_filter(dense_vector, lambda x: x is null or not isfinite(x))) = 0
+                and len(list_filter(dense_vector, lambda x: x <> 0)) > 0),
+        s as (select a.doc_id as a, b.doc_id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.doc_id <> b.doc_id),
+        t as (select * from s where c >= 0.9 qualify row_number() over (partition by a order by c desc, b) <= 5)
+        select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from t""",
     "p5_found": f"""
         with white as (select {_WHITE} as w),
         cur as (
