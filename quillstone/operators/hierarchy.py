@@ -5,90 +5,109 @@ seeded coin per node and round picks an independent set, so a chain of length n
 long it is. A forest without leaves is a set of disjoint rings: contraction stops there, and what is left is the cyclic
 core. Backward rounds undo the contraction in reverse order and hand each node its parent's root, path and depth.
 
-Every round is a join of the nodes still alive, whose number falls geometrically, so the whole costs a constant number
-of passes over the nodes. No tree is ever gathered in one task.
+A forward round is one aggregation of the messages between the nodes still alive, a backward round one join with the
+nodes that outlived it. The number of alive nodes falls geometrically, so the whole costs a constant number of passes
+over the nodes. No tree is ever gathered in one task, and a parent of very many children is aggregated map-side.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstone.lineage import cut
 
+_VIA = "array<struct<node:bigint,name:string>>"
+_NODE = f"struct<parent:bigint,via:{_VIA},name:string,state:string,fate:string>"
+_KID = f"struct<node:bigint,via:{_VIA}>"
+_MOVE = f"struct<parent:bigint,via:{_VIA}>"
+
 
 def _coin(node: Column, turn: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == 0
 
 
-def _contract(alive: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
-    """Rake and compress (node, parent, via, name, state) until nothing or only rings are left.
+def _messages(nodes: DataFrame) -> DataFrame:
+    """What the nodes tell each other, by receiver ``node``.
 
-    ``via`` holds the names of spliced nodes between a node and its present parent. Returns per round the raked and
-    the spliced nodes, and the core.
+    Kept and raked nodes keep themselves; kept ones announce themselves to their parent. A spliced node hands its only
+    child over to its parent, on whose behalf it announces the child - unsurely, as the child may just have been raked.
     """
-    turns: list[tuple[DataFrame, DataFrame]] = []
-    while True:
-        turn = len(turns)
-        kids = alive.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(
-            F.count(F.lit(1)).alias("kids"), F.min(F.struct("node", "via")).alias("kid")
-        )
-        splice = (F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-        splice &= _coin(F.col("node"), turn) & ~_coin(F.col("parent"), turn)
-        fate = F.when(F.col("kids").isNull(), "raked").when(splice, "spliced").otherwise("kept")
-        seen = cut(alive.join(kids, "node", "left").withColumn("fate", fate))
-        raked = seen.filter("fate = 'raked'")
-        if raked.isEmpty():
-            return turns, seen.select(alive.columns)
-        spliced = seen.filter("fate = 'spliced'")
-        turns.append((raked, spliced))
-        # The only child of a spliced node hangs on that node's parent from now on.
-        moved = spliced.select(
-            F.col("kid.node").alias("node"),
-            F.col("parent").alias("moved_to"),
-            F.concat("via", F.array("name"), F.col("kid.via")).alias("moved_via"),
-        )
-        kept = seen.filter("fate = 'kept'").select(alive.columns)
-        alive = kept.join(moved, "node", "left").select(
-            "node", F.coalesce("moved_to", "parent").alias("parent"), F.coalesce("moved_via", "via").alias("via"), "name", "state"
-        )
+    is_kept, is_spliced = F.col("fate") == "kept", F.col("fate") == "spliced"
+    none, row = F.lit(None), F.struct(*[F.col(c) for c in ("parent", "via", "name", "state", "fate")])
+    via = F.concat("via", F.array(F.struct("node", "name")), F.col("kid.via"))
 
+    def message(when: Column, to: Column, own: Column = none, kid: Column = none, sure: Column = none, move: Column = none) -> Column:
+        return F.struct(
+            F.when(when, to).alias("node"), own.cast(_NODE).alias("own"), kid.cast(_KID).alias("kid"), sure.cast("boolean").alias("sure"), move.cast(_MOVE).alias("move")
+        )
 
-def _hang(nodes: DataFrame, done: DataFrame) -> DataFrame:
-    """Root, path and state of ``nodes`` from those of their parents in ``done``."""
-    up = done.select(F.col("node").alias("parent"), F.col("root").alias("up_root"), F.col("path").alias("up_path"), F.col("state").alias("up_state"))
-    hung = nodes.join(up, "parent", "left")
-    top = F.col("parent").isNull()
-    return hung.select(
-        "node",
-        F.when(top, F.col("name")).otherwise(F.col("up_root")).alias("root"),
-        F.when(top, F.array("name")).otherwise(F.concat("up_path", "via", F.array("name"))).alias("path"),
-        F.when(top, F.col("state")).when(F.col("up_state") == "cycle", "below_cycle").otherwise(F.col("up_state")).alias("state"),
-        "up_state",
-        *(["kid"] if "kid" in nodes.columns else []),
+    sent = F.array(
+        message(~is_spliced, F.col("node"), own=row),
+        message(is_kept, F.col("parent"), kid=F.struct("node", "via"), sure=F.lit(True)),
+        message(is_spliced, F.col("parent"), kid=F.struct(F.col("kid.node"), via), sure=F.lit(False)),
+        message(is_spliced, F.col("kid.node"), move=F.struct("parent", via)),
     )
+    return nodes.select(F.inline(F.filter(sent, lambda m: m["node"].isNotNull())))
+
 
+def _contract(forest: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Rake and compress (node, parent, name, state) until nothing or only rings are left.
 
-def _expand(turns: list[tuple[DataFrame, DataFrame]], core: DataFrame) -> DataFrame:
-    out = ["node", "root", "path", "state"]
+    Returns the nodes removed in each round (node, parent, via, name, state), each hanging on a node that outlived the
+    round, with the spliced nodes between the two as ``via``; and the core.
+    """
+    shape = ["node", "parent", "via", "name", "state"]
+    nodes = forest.withColumns({"via": F.array().cast(_VIA), "fate": F.lit("kept"), "kid": F.lit(None).cast(_KID)})
+    spliced: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    quiet = 0
+    while quiet < 2:
+        turn = len(gone)
+        heard = _messages(nodes).groupBy("node").agg(
+            F.max("own").alias("own"), F.count("kid").alias("kids"), F.min("kid").alias("kid"), F.bool_and("sure").alias("sure"), F.max("move").alias("move")
+        )
+        # Messages to nodes that are gone find nobody.
+        heard = heard.filter("own is not null").select(
+            "node", F.coalesce("move.parent", "own.parent").alias("parent"), F.coalesce("move.via", "own.via").alias("via"),
+            "own.name", "own.state", "own.fate", "kids", "kid", "sure",
+        )
+        splice = (F.col("kids") == 1) & F.col("sure") & (F.col("parent") != F.col("node")) & _coin(F.col("node"), turn) & ~_coin(F.col("parent"), turn)
+        fate = F.when(F.col("fate") == "raked", "gone").when(F.col("kids") == 0, "raked").when(splice, "spliced").otherwise("kept")
+        seen = Observation()
+        leaves = F.count_if(F.col("fate") == "raked").alias("leaves")
+        nodes = cut(heard.select(*shape, fate.alias("fate"), F.when(fate == "spliced", F.col("kid")).alias("kid")).observe(seen, leaves))
+        spliced.append(nodes.filter("fate = 'spliced'").select(shape))
+        gone.append(nodes.filter("fate = 'gone'").select(shape))
+        nodes = nodes.filter("fate <> 'gone'")
+        quiet = 0 if seen.get["leaves"] else quiet + 1
+    # A leaf finds its last parent in the round after it was raked.
+    return [s.unionByName(g) for s, g in zip(spliced, gone[1:], strict=False)], nodes.select(shape)
+
+
+def _expand(turns: list[DataFrame], core: DataFrame) -> DataFrame:
+    """Root, path and state of every node, from the core back to the first round.
+
+    The nodes known after a step are those that outlived the round, so their number falls geometrically towards the
+    core, and so does the work of a step.
+    """
     none = F.lit(None)
-    parts = [core.select("node", none.cast("string").alias("root"), none.cast("array<string>").alias("path"), F.lit("cycle").alias("state"))]
-    rings = not core.isEmpty()
-    for raked, spliced in reversed(turns):
-        done = reduce(DataFrame.unionByName, parts)
-        inner = _hang(spliced, done)
-        if rings:
-            # A spliced node is on a ring if both its parent and its child are: the child was contracted later, or raked.
-            on_ring = done.filter("state = 'cycle'").select(F.col("node").alias("ring_kid"))
-            maybe = inner.filter("up_state = 'cycle'").join(on_ring, F.col("kid.node") == F.col("ring_kid"), "left")
-            maybe = maybe.withColumn("state", F.when(F.col("ring_kid").isNotNull(), "cycle").otherwise(F.col("state")))
-            inner = inner.filter("up_state is null or up_state <> 'cycle'").select(out).unionByName(maybe.select(out))
-        inner = cut(inner.select(out))
-        outer = cut(_hang(raked, done.unionByName(inner)).select(out))
-        parts += [inner, outer]
-    return reduce(DataFrame.unionByName, parts)
+    done = core.select("node", none.cast("string").alias("root"), none.cast("array<string>").alias("path"), F.lit("below_cycle").alias("state"))
+    for removed in reversed(turns):
+        up = done.select(F.col("node").alias("parent"), F.col("root").alias("up_root"), F.col("path").alias("up_path"), F.col("state").alias("up_state"))
+        top = F.col("parent").isNull()
+        new = removed.join(up, "parent", "left").select(
+            "node",
+            F.when(top, F.col("name")).otherwise(F.col("up_root")).alias("root"),
+            F.when(top, F.array("name")).otherwise(F.concat("up_path", F.col("via.name"), F.array("name"))).alias("path"),
+            F.when(top, F.col("state")).otherwise(F.col("up_state")).alias("state"),
+        )
+        done = cut(done.unionByName(new))
+    # The rings are the core's nodes and those that were spliced out between them.
+    ring = core.select(F.explode(F.concat(F.array("node"), F.col("via.node"))).alias("node")).withColumn("on_ring", F.lit(True))
+    return done.join(ring, "node", "left").withColumn("state", F.when(F.col("on_ring"), "cycle").otherwise(F.col("state"))).drop("on_ring")
 
 
 def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: str = "parent") -> DataFrame:
@@ -105,7 +124,7 @@ def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: s
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_has_{i}")) for i, c in enumerate(scope)], F.col(parent) == F.col("_has_name"))
     state = F.when(F.col(parent).isNotNull() & F.col("_parent").isNull(), "broken").otherwise("ok")
     forest = nodes.join(has, same, "left").select(
-        F.col("_node").alias("node"), F.col("_parent").alias("parent"), F.array().cast("array<string>").alias("via"), F.col(name).alias("name"), state.alias("state")
+        F.col("_node").alias("node"), F.col("_parent").alias("parent"), F.col(name).alias("name"), state.alias("state")
     )
     turns, core = _contract(forest)
     known = _expand(turns, core)
