@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstone.functions.text import WHITE
+from quillstone.llm.encoding import repaired
 from quillstone.llm.mixing import mix_report, mix_sources
 from quillstone.llm.neighbours import most_similar, similar_pairs
 from quillstone.llm.split import split_oversized
@@ -56,7 +56,15 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(*mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_similar, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_similar, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_repaired)}
 
 _WHITE = "||".join(f"chr({ord(c)})" for c in WHITE)
 ORACLES = {
@@ -83,4 +91,4 @@ ORACLES = {
         where case b.block_kind when 'paragraph' then length(b.block_text)
               when 'table' then list_sum(list_transform(flatten(b.table_rows), lambda c: coalesce(length(c), 0))) end > 4000""",
 }
-__all__ = ["ORACLES", "QUERIES", "F"]
+__all__ = ["ORACLES", "QUERIES"]
