@@ -13,10 +13,25 @@ def _strings(x: Column) -> Column:
 
 
 def first_by(items: Column, key) -> Column:  # noqa: ANN001
-    """The items in order, without those whose ``key`` an earlier one has."""
-    keyed = F.transform(items, lambda v: F.struct(v.alias("v"), key(v).alias("k")))
-    keys = F.transform(keyed, lambda s: s["k"])
-    return F.transform(F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1), lambda s: s["v"])
+    """The items in order, without those whose ``key`` an earlier one has; one pass, so ``items`` is evaluated once."""
+    none = F.array().cast("array<string>")
+
+    def add(acc: Column, v: Column) -> Column:
+        added = F.struct(F.array_append(acc["out"], v).alias("out"), F.array_append(acc["keys"], key(v)).alias("keys"))
+        return F.when(F.array_contains(acc["keys"], key(v)), acc).otherwise(added)
+
+    return F.aggregate(items, F.struct(none.alias("out"), none.alias("keys")), add, lambda acc: acc["out"])
+
+
+def _changes(items: Column, kind: str, value) -> Column:  # noqa: ANN001
+    """The items, of type ``kind``, whose ``value`` differs (by fingerprint) from that of the item before."""
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.lit(None).cast("string").alias("last"))
+
+    def add(acc: Column, v: Column) -> Column:
+        mark = fingerprint(value(v))
+        return F.struct(F.when(acc["last"].eqNullSafe(mark), acc["out"]).otherwise(F.array_append(acc["out"], v)).alias("out"), mark.alias("last"))
+
+    return F.aggregate(items, start, add, lambda acc: acc["out"])
 
 
 def distinct_terms(x: Column | str) -> Column:
@@ -36,8 +51,7 @@ def keyword_list(x: Column | str, most: int) -> Column:
 
 def without_consecutive(x: Column | str) -> Column:
     """Without the items that repeat the item before (compared by fingerprint), and without empty ones."""
-    items = F.filter(F.transform(_strings(col(x)), collapse), lambda v: v != "")
-    return F.filter(items, lambda v, i: (i == 0) | (fingerprint(v) != fingerprint(F.get(items, i - 1))))
+    return _changes(F.filter(F.transform(_strings(col(x)), collapse), lambda v: v != ""), "string", lambda v: v)
 
 
 def distinct_cells(x: Column | str) -> Column:
@@ -52,8 +66,7 @@ def row_pairs(headers: Column | str, cells: Column | str) -> Column:
         values,
         lambda v, i: F.struct(F.coalesce(F.nullif(F.trim(F.get(names, i)), F.lit("")), F.concat(F.lit("column_"), i + 1)).alias("header"), collapse(v).alias("value")),
     )
-    filled = F.filter(pairs, lambda p: p["value"] != "")
-    return F.filter(filled, lambda p, i: (i == 0) | (fingerprint(p["value"]) != fingerprint(F.get(filled, i - 1)["value"])))
+    return _changes(F.filter(pairs, lambda p: p["value"] != ""), "struct<header:string,value:string>", lambda p: p["value"])
 
 
 def row_header(cells: Column | str) -> Column:
@@ -82,9 +95,11 @@ def table_markdown(rows: Column | str) -> Column:
     """A Markdown table, rows padded to the widest."""
     matrix = F.transform(col(rows), _strings)
     width = F.array_max(F.transform(matrix, F.size))
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells))), " | "), F.lit(" |"))
+    line = lambda cells, w: F.concat(F.lit("| "), F.array_join(F.concat(cells, F.array_repeat(F.lit(""), w - F.size(cells))), " | "), F.lit(" |"))
+    # The width goes along with each row, so that it is found once.
+    lines = F.zip_with(matrix, F.array_repeat(width, F.size(matrix)), line)
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.when(width > 0, F.array_join(F.concat(F.array(line(matrix[0]), rule), F.transform(F.slice(matrix, 2, 10**6), line)), "\n")).otherwise("")
+    return F.when(width > 0, F.array_join(F.array_insert(lines, 2, rule), "\n")).otherwise("")
 
 
 def joined(parts: list[Column], sep: str) -> Column:

@@ -40,6 +40,11 @@ def matches(x: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(col(x), F.lit("")), F.lit(pattern), group)
 
 
+def once(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with ``value`` evaluated once, however often it is used; within lambdas nothing else shares it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def abbreviations(x: Column | str) -> Column:
     """(long_form, short_form) of 'Long Form (SF)' with a long form of at least two words."""
     pairs = F.arrays_zip(F.transform(matches(x, ABBREVIATION, 1), collapse).alias("long_form"), matches(x, ABBREVIATION, 2).alias("short_form"))
@@ -62,22 +67,20 @@ def terms_of(texts: list[Column], pattern: str, group: int = 0) -> Column:
 
 
 def message_names(x: Column | str) -> Column:
-    """Runs of capitalised or numbered words that end in a message word, of at least two words."""
+    """Runs of capitalised or numbered words that end in a message word, of at least two words; found in one pass."""
     tokens = F.filter(F.split(collapse(F.coalesce(col(x), F.lit(""))), " "), lambda t: t != "")
-    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"^[.,;:()]+|[.,;:()]+$", ""))
-    stops = F.filter(
-        F.transform(bare, lambda t, i: F.when((t == "") | ~(t.rlike(r"^\p{Lu}") | t.rlike(r"\d")), i)), lambda i: i.isNotNull()
-    )
-    ends = F.filter(
-        F.transform(tokens, lambda t, i: F.when(F.lower(F.regexp_replace(t, r"[.,;:]+$", "")).isin(MESSAGE_WORDS), i)), lambda i: i.isNotNull()
-    )
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("run"))
 
-    def name(end: Column) -> Column:
-        start = F.coalesce(F.array_max(F.filter(stops, lambda s: s < end)) + 1, F.lit(0))
-        words = F.slice(tokens, start + 1, end - start + 1)
-        return F.when(end > start, F.regexp_replace(F.array_join(words, " "), r"^[.,;:()]+|[.,;:()]+$", ""))
+    def add(acc: Column, t: Column) -> Column:
+        bare = F.btrim(t, F.lit(".,;:()"))
+        named = F.concat(acc["run"], t)
+        ends = F.lower(F.regexp_replace(t, r"[.,;:]+$", "")).isin(MESSAGE_WORDS) & (acc["run"] != "")
+        return F.struct(
+            F.when(ends, F.array_append(acc["out"], F.btrim(named, F.lit(".,;:()")))).otherwise(acc["out"]).alias("out"),
+            F.when(bare.rlike(r"^\p{Lu}") | bare.rlike(r"\d"), F.concat(named, F.lit(" "))).otherwise("").alias("run"),
+        )
 
-    return F.filter(F.transform(ends, name), lambda n: n.isNotNull())
+    return F.aggregate(tokens, start, add, lambda acc: acc["out"])
 
 
 def retrieval_weight(title: Column | str, doc_type: Column | str) -> Column:
@@ -215,11 +218,13 @@ def term_variants(x: Column | str) -> Column:
 
 def compound_variants(x: Column | str) -> Column:
     """The hint form of a term; with its compounds split; and the last 4 and last 3 words of that."""
-    whole, split = hint_term(x), hint_term(split_camel(F.trim(col(x))))
-    words = F.split(split, " ")
-    tail = lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " "))
-    more = F.when(split != whole, F.array(split, tail(4), tail(3))).otherwise(F.array())
-    return F.array_distinct(F.filter(F.concat(F.array(whole), more), lambda t: t.isNotNull() & (t != "")))
+    def variants(s: Column) -> Column:
+        words = F.split(s["split"], " ")
+        tail = lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " "))
+        more = F.when(s["split"] != s["whole"], F.array(s["split"], tail(4), tail(3))).otherwise(F.array())
+        return F.array_distinct(F.filter(F.concat(F.array(s["whole"]), more), lambda t: t.isNotNull() & (t != "")))
+
+    return once(F.struct(hint_term(x).alias("whole"), hint_term(split_camel(F.trim(col(x)))).alias("split")), variants)
 
 
 def spec_spellings(x: Column | str) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from quillstone.functions.extract import QUERY_STOPWORDS
 from quillstone.functions.text import anchor_term, filled, is_noisy_anchor
-from quillstone.operators.enrich import anchor_source_terms, labelled
+from quillstone.lineage import cut
+from quillstone.operators.enrich import anchor_source_terms, labelled, registry_terms
 
 # Weights of the sources of a term, and terms that count less.
 CANDIDATE_WEIGHTS = {"clause_title": 2.0, "table_title": 1.8, "row_header": 1.7, "abbreviation_long": 1.2, "abbreviation_short": 1.5, "row_value": 0.4}
@@ -58,17 +59,18 @@ def is_hint(term: Column) -> Column:
     return (F.length(term) >= 4) & ~term.isin(GENERIC_HINTS) & ~term.isin(QUERY_STOPWORDS) & ~term.rlike(NOISY_HINT) & ~one_lower_word(term) & ~plain
 
 
-def term_registry(terms: DataFrame, scope: list[str], most: int = 24, least: float = 2.2) -> DataFrame:
+def term_registry(records: DataFrame, scope: list[str], most: int = 24, least: float = 2.2) -> DataFrame:
     """scope, spec_no, term, score: the terms that tell a specification, by weight and rarity, at most ``most`` each.
 
-    ``terms`` are those of ``registry_terms``; of a term repeated in a record the first weight counts. Every ``scope``
-    (none: everything) has its own numbers of specifications.
+    Of a term repeated in an enriched record the first weight counts. Every ``scope`` (none: everything) has its own
+    numbers of specifications. The terms are gone through once; what follows works on their sums.
     """
-    kept = terms.filter((F.col("spec_no") != "") & is_hint(F.col("term")))
+    named = records.filter("spec_no <> ''")
+    kept = registry_terms(named).filter(is_hint(F.col("term")))
     first = kept.groupBy(*scope, "spec_no", "doc_id", "term").agg(F.min_by("weight", "at").alias("weight"))
-    by_spec = first.groupBy(*scope, "spec_no", "term").agg(F.sum("weight").alias("tf"))
+    by_spec = cut(first.groupBy(*scope, "spec_no", "term").agg(F.sum("weight").alias("tf")))
     spread = by_spec.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("spread"))
-    specs = terms.filter("spec_no <> ''").groupBy(*scope).agg(F.countDistinct("spec_no").alias("specs"))
+    specs = named.groupBy(*scope).agg(F.countDistinct("spec_no").alias("specs"))
     known = by_spec.join(spread, [*scope, "term"])
     known = known.join(specs, scope) if scope else known.crossJoin(F.broadcast(specs))  # one row
     score = F.col("tf") * F.log1p(F.col("specs") / F.col("spread"))

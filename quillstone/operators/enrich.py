@@ -30,9 +30,14 @@ def keywords(records: DataFrame, most: int) -> DataFrame:
 def keyword_arrays(records: DataFrame, most: int = 12) -> DataFrame:
     """``records`` with their ``keywords`` as an array, without a shuffle."""
     found = F.filter(F.transform(matches("text", WORD), F.lower), lambda w: ~w.isin(KEYWORD_STOPWORDS))
-    distinct = F.array_distinct(found)
-    ranked = F.array_sort(F.transform(distinct, lambda w, i: F.struct((-F.size(F.filter(found, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w"))))
-    return records.withColumn("keywords", F.slice(F.transform(ranked, lambda s: s["w"]), 1, most))
+    # Sorted, equal words stand in runs: the length of a run is the word's count, its first element has the first place.
+    words = records.withColumn("_w", F.array_sort(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
+    new = lambda i: (i == 0) | (F.get("_w", i)["w"] != F.get("_w", i - 1)["w"])
+    places = F.when(F.size("_w") > 0, F.filter(F.sequence(F.lit(0), F.size("_w") - 1), new)).otherwise(F.array().cast("array<int>"))
+    runs = words.withColumn("_s", places)
+    count = lambda s, k: F.coalesce(F.get("_s", k + 1), F.size("_w")) - s
+    ranked = F.array_sort(F.transform("_s", lambda s, k: F.struct((-count(s, k)).alias("n"), F.get("_w", s)["i"].alias("i"), F.get("_w", s)["w"].alias("w"))))
+    return runs.withColumn("keywords", F.slice(F.transform(ranked, lambda r: r["w"]), 1, most)).drop("_w", "_s")
 
 
 def source_texts() -> list[Column]:

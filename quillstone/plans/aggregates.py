@@ -115,12 +115,12 @@ def _registry_sql(scope: str) -> str:
 
 @query(_registry_sql(""))
 def g2_p7_f12_registry(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregate.term_registry(enrich.registry_terms(_enriched(spark, folder)), [])
+    return aggregate.term_registry(_enriched(spark, folder), [])
 
 
 @query(_registry_sql("release_data, release"))
 def g18_release_registries(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregate.term_registry(enrich.registry_terms(_enriched(spark, folder)), ["release_data", "release"])
+    return aggregate.term_registry(_enriched(spark, folder), ["release_data", "release"])
 
 
 @query(f"""with {ENRICHED}, s as (
