@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions.extract import QUERY_STOPWORDS, TRAILING_WORDS
+from quillstone.lineage import cut
 from quillstone.operators import aggregate, enrich, select
 from quillstone.operators.aggregate import GENERIC_CANDIDATES, GENERIC_HINTS, GENERIC_SIGNALS
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
@@ -19,7 +20,8 @@ QUERIES, ORACLES, query = R.queries, R.oracles, R.query
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.enriched(corpus(spark, folder))
+    """The enriched corpus, written once: filters and scores that use its columns several times do not extract them anew."""
+    return cut(enrich.enriched(corpus(spark, folder)))
 
 
 @query(f"""with {ENRICHED}, a as (select doc_id, string_agg(term, '|' order by pos) as anchor_terms from anchors group by doc_id),
