@@ -117,9 +117,10 @@ def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: s
     null-safe. Adds root, path (names from the root down to the row), depth (0 for a root) and state: ``ok``,
     ``broken`` (the chain of parents ends at a name without row), ``cycle`` (the row is its own ancestor) or
     ``below_cycle``. root, path and depth start at the topmost known row for ``broken``; they are null on and below a
-    ring. Columns of ``rows`` stay as they are; an empty input gives an empty result.
+    ring. Other columns of ``rows`` stay as they are, but for those named like the added ones, which these replace. An
+    empty input gives an empty result.
     """
-    nodes = cut(rows.withColumn("_node", F.monotonically_increasing_id()))
+    nodes = cut(rows.drop("root", "path", "depth", "state").withColumn("_node", F.monotonically_increasing_id()))
     has = nodes.select(*[F.col(c).alias(f"_has_{i}") for i, c in enumerate(scope)], F.col(name).alias("_has_name"), F.col("_node").alias("_parent"))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_has_{i}")) for i, c in enumerate(scope)], F.col(parent) == F.col("_has_name"))
     state = F.when(F.col(parent).isNotNull() & F.col("_parent").isNull(), "broken").otherwise("ok")
@@ -153,4 +154,4 @@ def descendants(tree: DataFrame, scope: list[str], name: str = "clause") -> Data
 def with_descendant_counts(tree: DataFrame, scope: list[str], name: str = "clause") -> DataFrame:
     """``tree`` with the number of all descendants of each row; aggregated before the shuffle, so a huge tree's root is no hot key."""
     counts = descendants(tree, scope, name).groupBy(*scope, F.col("ancestor").alias(name)).agg(F.count(F.lit(1)).alias("descendants"))
-    return tree.join(counts, [*scope, name], "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
+    return tree.drop("descendants").join(counts, [*scope, name], "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))

@@ -173,7 +173,7 @@ def g8_r9_spec_stages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {CORPUS}, c as (select spec_no, clause_title, count(*) as uses from corpus where clause_title <> '' group by all)
-    select *, row_number() over (partition by spec_no order by uses desc, clause_title) as place from c qualify place <= 48""")
+    select *, cast(row_number() over (partition by spec_no order by uses desc, clause_title) as integer) as place from c qualify place <= 48""")
 def g8_w2_top_titles(spark: SparkSession, folder: str) -> DataFrame:
     return aggregate.top_values(corpus(spark, folder).filter("clause_title <> ''"), "spec_no", "clause_title", 48)
 
@@ -188,7 +188,7 @@ def _clauses(spark: SparkSession, folder: str) -> DataFrame:
     return current_clauses(table(spark, folder, "clauses"), keep)
 
 
-@query(f"""with {_COUNTED} select release_data, release, spec, count(*) as clauses, count_if(parent is null) as roots,
+@query(f"""with {_COUNTED} select release_data, release, spec, count(*) as clauses, cast(count_if(parent is null) as bigint) as roots,
     arg_min_null(spec_title, (coalesce(order_in_source, 0), clause)) as title, arg_min_null(source_file, (coalesce(order_in_source, 0), clause)) as source from cur group by all""")
 def g10_document_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return aggregate.document_summaries(_clauses(spark, folder), DOCUMENT)

@@ -93,7 +93,7 @@ tree as materialized (
   select c.*, case when not e.ring and e.up is null then 'ok' when not e.ring then 'broken' when e.path[1] = c.clause then 'cycle' else 'below_cycle' end as state, e.path
   from cur c join ends e using (release_data, release, spec, clause))
 """
-_DESCENDANTS = """select release_data, release, spec, path[i] as ancestor, clause as descendant, len(path) - i as distance
+_DESCENDANTS = """select release_data, release, spec, path[i] as ancestor, clause as descendant, cast(len(path) - i as integer) as distance
 from (select *, unnest(range(1, len(path))) as i from tree where state in ('ok', 'broken'))"""
 
 ORACLES = {
@@ -117,7 +117,7 @@ ORACLES = {
         where state <> 'ok' or clause_path is distinct from path""",
     "p3_hierarchy": f"""with recursive {_TREE}, d as ({_DESCENDANTS}), n as (select release_data, release, spec, ancestor as clause, count(*) as n from d group by all)
         select release_data, release, spec, clause, state, case when state in ('ok', 'broken') then path[1] end as root,
-               case when state in ('ok', 'broken') then len(path) - 1 end as depth,
+               cast(case when state in ('ok', 'broken') then len(path) - 1 end as integer) as depth,
                case when state in ('ok', 'broken') then array_to_string(path, '/') end as path, coalesce(n, 0) as descendants
         from tree left join n using (release_data, release, spec, clause)""",
     "p3_descendants": f"with recursive {_TREE} {_DESCENDANTS}",

@@ -47,7 +47,7 @@ def x10_x14_x16_x17_x24_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with t as (select row_id, {strip("coalesce(text, '')")} as t from clauses)
-    select row_id, i as chunk_no, substr(t, i * 2000 + 1, 2000) as chunk from (select *, unnest(range(least(3, cast(ceil(length(t) / 2000.0) as bigint)))) as i from t)""")
+    select row_id, cast(i as integer) as chunk_no, substr(t, i * 2000 + 1, 2000) as chunk from (select *, unnest(range(least(3, cast(ceil(length(t) / 2000.0) as bigint)))) as i from t)""")
 def x12_p9_text_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "clauses").select("row_id", F.posexplode(text.chunks("text")).alias("chunk_no", "chunk"))
 
@@ -88,7 +88,7 @@ def x25_tensor_literal(spark: SparkSession, folder: str) -> DataFrame:
         select doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9\-]{{2,}}\b')) as w, generate_subscripts(regexp_extract_all(text, '\b[A-Za-z][A-Za-z0-9\-]{{2,}}\b'), 1) as i from corpus)
       where lower(w) not in {words(KEYWORD_STOPWORDS)}),
     c as (select doc_id, word, count(*) as n, min(i) as first from w group by doc_id, word)
-    select doc_id, word as keyword, n as uses, row_number() over (partition by doc_id order by n desc, first) as place from c
+    select doc_id, word as keyword, n as uses, cast(row_number() over (partition by doc_id order by n desc, first) as integer) as place from c
     qualify row_number() over (partition by doc_id order by n desc, first) <= 12""")
 def e1_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.keywords(corpus(spark, folder), 12)
@@ -265,14 +265,14 @@ def a4_w3_clause_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TABLES = """tab as materialized (
-  select row_id, i - 1 as block_no, b.table_rows as m from (select row_id, unnest(blocks) as b, generate_subscripts(blocks, 1) as i from clauses) where b.block_kind = 'table' and len(b.table_rows) > 0)"""
+  select row_id, cast(i - 1 as integer) as block_no, b.table_rows as m from (select row_id, unnest(blocks) as b, generate_subscripts(blocks, 1) as i from clauses) where b.block_kind = 'table' and len(b.table_rows) > 0)"""
 
 
 @query(rf"""with {_TABLES}, r as (select row_id, block_no, m, unnest(m) as r, generate_subscripts(m, 1) as n from tab),
     c as (select row_id, block_no, n, i, {ws("coalesce(r[i], '')")} as v, coalesce(nullif(trim(coalesce(m[1][i], '')), ''), 'column_' || i) as h
           from (select *, unnest(range(1, len(r) + 1)) as i from r where n > 1)),
     k as (select *, lag({fp('v')}) over (partition by row_id, block_no, n order by i) as before from c where v <> '')
-    select row_id, block_no, n - 1 as row_no, string_agg(h || ': ' || v, '; ' order by i) as line from k where before is null or before <> {fp('v')} group by all""")
+    select row_id, block_no, cast(n - 1 as integer) as row_no, string_agg(h || ': ' || v, '; ' order by i) as line from k where before is null or before <> {fp('v')} group by all""")
 def a6_p5_table_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = enrich.table_rows(table(spark, folder, "clauses"))
     return rows.filter("line <> ''").select("row_id", "block_no", "row_no", "line")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC
+from quillstone.functions import embeddings
 from quillstone.operators import aggregate, enrich, evaluate, hops, search, trees
 from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import GENERIC_ANCHOR_TERMS, PROFILES
-from quillstone.plans.aggregates import _COUNTED, _HITS, _clauses, _enriched, _hits
+from quillstone.plans.aggregates import _COUNTED, _clauses, _enriched
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, words
+from quillstone.sources import records as record_files
 from quillstone.sources.corpus import corpus
 from quillstone.sources.tables import DOCUMENT, table
 
@@ -245,4 +247,25 @@ def y4_g15_profile_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.mean_metrics(each[0].unionByName(each[1]))
 
 
-__all__ = ["ORACLES", "QUERIES", "_HITS", "_hits"]
+# --- sinks and embeddings ----------------------------------------------------------------------------------------------
+
+
+@query()
+def k2_k4_feed(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["doc_id", "doc_type", "content_kind", "spec_no", "release", "release_data", "stage_hint", "clause_id", "clause_title", "row_header", "row_cells"]
+    return record_files.feed(corpus(spark, folder), "clauses", "record", fields, enrich.searchable_text())
+
+
+@query()
+def k7_registry_json(spark: SparkSession, folder: str) -> DataFrame:
+    return record_files.registry_json(aggregate.term_registry(_enriched(spark, folder), []))
+
+
+@query()
+def v1_v4_hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedded(corpus(spark, folder).select("doc_id", enrich.record_body().alias("body")), F.col("body")).drop("body")
+
+
+@query(f"""with {CORPUS} select doc_id, row_id from corpus order by row_id limit 500 offset 100""")
+def s4_sliced_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return record_files.sliced(corpus(spark, folder), ["row_id"], 100, 500).select("doc_id", "row_id")
