@@ -185,12 +185,39 @@ class EncodingClassifier:
             found = self._inverse(line, start, end, CHAINS[k])
             if found:
                 return (int(k), *found)
-            # Where the inverse cannot tell, no bigram may speak against the chain.
-            if _lost(line[start:end], CHAINS[k]) and (LOST in line[start:end] or self.odds[bigrams(_around(line, start, end)), k].min() > -0.1):
+            # Where the inverse cannot tell, every bigram must speak for the chain, or all together clearly.
+            if _lost(line[start:end], CHAINS[k]) and (
+                LOST in line[start:end] or odds[k] > 2 * STRETCH_ODDS or self.odds[bigrams(_around(line, start, end)), k].min() > 0.05
+            ):
                 return int(k), start, end, None
         best = int(odds.argmax())
         return (best, start, end, None) if odds[best] > CERTAIN_ODDS else None
 
+    def _widened(self, line: str, first: int, last: int, verdicts: list[tuple | None]) -> list[tuple | None]:
+        """Verdicts without inverse once more over all neighbouring characters that the wrong encoding has.
+
+        A part may begin or end within the bytes of a character, or stand beside clean text in one stretch.
+        """
+        out: list[tuple | None] = []
+        done = first
+        for v in verdicts:
+            if v is None or v[1] < done:
+                out.append(v if v is None else None)
+                continue
+            k, s, e, original = v
+            wrong = CHAINS[k][-1][1]
+            if original is None and wrong not in WIDE and wrong != STRIPPED:
+                has = _table(wrong)[1]
+                while s > done and line[s - 1] in has:
+                    s -= 1
+                while e < last and line[e] in has:
+                    e += 1
+                found = self._inverse(line, s, e, CHAINS[k])
+                v = (k, *found) if found else v
+            out.append(v)
+            done = v[2]
+        return out
+
     def faults(self, line: str) -> list[tuple]:
         """(chain, start, end, original or null) of the garbled places of a line."""
         if line.isascii():
@@ -202,6 +229,7 @@ class EncodingClassifier:
                 parts = [(at, min(at + 24, m.end())) for at in range(m.start(), m.end(), 24)]
                 odds = [self.scores(_around(line, *p)) for p in parts]
                 verdicts = [self._judge(line, *p, o, STRETCH_ODDS) for p, o in zip(parts, odds, strict=True)]
+                verdicts = self._widened(line, m.start(), m.end(), verdicts)
                 own = sum(odds)
                 if len(parts) > 1 and (one := self._judge(line, m.start(), m.end(), own, STRETCH_ODDS)) and one[3] is not None:
                     verdicts = [one]

@@ -140,15 +140,16 @@ def _encoded(df: DataFrame, text: str, out: str, counts: bool, vocabulary: str)
                 rest = batch.columns[1:]
                 yield pa.RecordBatch.from_arrays([*rest, column], [*batch.schema.names[1:], out])
 
-    if out in df.columns:
-        raise ValueError(f"the input has a column {out!r} already; name the result otherwise")
+    df = df.drop(out) if out != text else df
     kind = LongType() if counts else ArrayType(IntegerType(), False)
-    schema = StructType([*df.schema.fields, StructField(out, kind)])
-    return df.select(F.col(text).alias("_text"), *df.columns).mapInArrow(encode, schema)
+    schema = StructType([*(f for f in df.schema.fields if f.name != out), StructField(out, kind)])
+    named = max(["_text", *df.columns], key=len) + "_"  # a name that no column has
+    return df.select(F.col(text).alias(named), *[c for c in df.columns if c != out]).mapInArrow(encode, schema)
 
 
 def token_ids(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` with the ids of ``text``; select the columns wanted first, as all of them pass through Python."""
+    """``df`` with the ids of ``text`` in the column ``out``, which is replaced if there is one; select the columns wanted
+    first, as all of them pass through Python."""
     return _encoded(df, text, out, False, vocabulary)
 
 
