@@ -273,19 +273,22 @@ class EncodingClassifier:
         return sorted(set(chains)), None if lost or not chains else "\n".join(lines)
 
 
-def fit_classifier(documents: DataFrame, text: str = "text") -> EncodingClassifier:
-    """A classifier of the texts' own languages, from a seeded sample of at most ``SAMPLE`` lines beyond ASCII."""
-    lines = documents.select(F.explode(F.split(text, "\n")).alias("line")).filter(r"line rlike '[^\\x00-\\x7f]'")
-    lines = lines.select(F.substring("line", 1, LINE).alias("line")).filter(r"line rlike '[^\\x00-\\x7f]'")
-    sample = lines.orderBy(F.xxhash64("line", F.lit(SEED)), "line").limit(SAMPLE).collect()
-    return EncodingClassifier([r[0] for r in sample])
+def fit_classifier(documents: DataFrame, key: str = "doc_id", text: str = "text") -> EncodingClassifier:
+    """A classifier of the texts' own languages, from a seeded sample of at most ``SAMPLE`` lines beyond ASCII.
+
+    Lines are drawn by their place, not by their content, so frequent lines have their share of the sample.
+    """
+    lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    lines = lines.withColumn("line", F.substring("line", 1, LINE)).filter(r"line rlike '[^\\x00-\\x7f]'")
+    sample = lines.orderBy(F.xxhash64("key", "at", F.lit(SEED)), "line").limit(SAMPLE).collect()
+    return EncodingClassifier([r["line"] for r in sample])
 
 
 def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, chains and restored of every garbled text of ``documents``."""
     import pyarrow as pa
 
-    model = documents.sparkSession.sparkContext.broadcast(fit_classifier(documents, text))
+    model = documents.sparkSession.sparkContext.broadcast(fit_classifier(documents, key, text))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
