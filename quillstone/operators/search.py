@@ -206,8 +206,8 @@ def cosine(vector: Column | str, query: Sequence[float]) -> Column:
 
 
 def closeness(cos: Column) -> Column:
-    """1 / (1 + angle)."""
-    return 1 / (1 + F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0))))
+    """1 / (1 + angle); null where there is no cosine."""
+    return F.when(cos.isNotNull(), 1 / (1 + F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)))))
 
 
 def nearest(vectors: DataFrame, vector: str, query: Sequence[float], most: int, key: str) -> DataFrame:
