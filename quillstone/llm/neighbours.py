@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.lineage import cut
+from quillstone.llm.sampling import bounded_sample
 from quillstone.sources.tables import current_records
 
 DIM = 64
@@ -173,7 +174,7 @@ def _cells(units: DataFrame, index) -> DataFrame:  # noqa: ANN001
 def build_index(units: DataFrame, total: int) -> MultiIndex:
     """Fit codebooks on a sample of ``units`` and count all of them per cell."""
     sc = units.sparkSession.sparkContext
-    rows = units.select("unit").orderBy(F.xxhash64("unit", F.lit(SEED))).limit(SAMPLE).collect()
+    rows = bounded_sample(units.select("unit"), F.xxhash64("unit", F.lit(SEED)), total, SAMPLE)
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
     size = min(len(sample), MOST_CENTROIDS, max(1, round(total**0.5 / 14)))
     half = sample.shape[1] // 2
