@@ -218,3 +218,42 @@ def nearest(vectors: DataFrame, vector: str, query: Sequence[float], most: int,
 
 def hybrid_score(sparse: Column, close: Column, weight: Column, ranking: Ranking) -> Column:
     return sparse * weight * ranking.sparse + close * 9 * ranking.vector
+
+
+# --- routing -----------------------------------------------------------------------------------------------------------
+
+
+def _phrase(phrase: str, text: Column, equal: float, within: float) -> Column:
+    """``equal`` if the text is the phrase, ``within`` if it holds a phrase of at least 5 characters."""
+    if not phrase:
+        return F.lit(0.0)
+    inside = F.when(F.contains(text, F.lit(phrase)), within).otherwise(0.0) if len(phrase) >= 5 else F.lit(0.0)
+    return F.when(text == phrase, equal).otherwise(inside)
+
+
+def entry_specs(
+    registry: DataFrame, titles: DataFrame, spec_titles: DataFrame, stages: DataFrame, query: str, terms: Sequence[str], anchors: Sequence[str],
+    requested: Sequence[str], most: int,
+) -> DataFrame:
+    """spec_no and score of the ``most`` specifications in which to begin a search.
+
+    ``registry`` (spec_no, term, score), ``titles`` (spec_no, clause_title, place), ``spec_titles`` (spec_no, title) and
+    ``stages`` (spec_no, stages joined by '|') are summaries of bounded size per specification.
+    """
+    phrase = query.strip().lower()
+    low = list(dict.fromkeys(t.lower() for t in distinct_words([phrase, *anchors, *terms])))
+    term = F.lower("term")
+
+    def held(t: str) -> Column:
+        mutual = F.contains(term, F.lit(t)) | F.contains(F.lit(t), term)
+        return F.when(term == t, 1.0).otherwise(F.when(mutual, 0.55).otherwise(0.0) if len(t) >= 5 else F.lit(0.0))
+
+    by_term = registry.select("spec_no", (F.col("score") * _sum([held(t) for t in low])).alias("s"))
+    by_name = spec_titles.select("spec_no", _phrase(phrase, F.lower("title"), 8.0, 4.2).alias("s"))
+    title = F.lower("clause_title")
+    named = _phrase(phrase, title, 9.5, 5.0) + _sum([F.when(F.contains(title, F.lit(a.lower())), 2.6).otherwise(0.0) for a in list(anchors)[:8] if len(a) >= 5])
+    by_title = titles.filter("place <= 16").select("spec_no", named.alias("s"))
+    total = by_term.unionByName(by_name).unionByName(by_title).groupBy("spec_no").agg(F.sum("s").alias("s")).filter("s > 0")
+    fits = F.arrays_overlap(F.split("stages", r"\|"), F.array(*map(F.lit, requested)))
+    scored = total.join(stages, "spec_no", "left").withColumn("score", F.round(F.col("s") + F.when(fits, 1.5).otherwise(0.0) + 1e-7, 3))  # halves up, whatever the order of summing
+    return scored.orderBy(F.desc("score"), "spec_no").limit(most).select("spec_no", "score")

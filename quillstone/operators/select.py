@@ -91,3 +91,30 @@ def unseen(hits: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
 def grouped_sources(documents: DataFrame) -> DataFrame:
     named = lambda c, other: F.coalesce(filled(c), F.lit(other))
     return documents.groupBy(named("release", "unknown-release").alias("release"), named("spec_no", "unknown-spec").alias("spec")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def labelled_by(rows: DataFrame, text: Column, key: str, taxonomy: DataFrame) -> DataFrame:
+    """key and the labels, joined, of which ``text`` holds a term regardless of case; ``taxonomy`` (label, term) is broadcast if Spark finds it small."""
+    low = rows.select(key, F.lower(text).alias("_text"))
+    found = low.join(taxonomy.select("label", F.lower("term").alias("term")).distinct(), F.contains(F.col("_text"), F.col("term")))
+    return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
+
+
+def found_posts(posts: DataFrame, query: str) -> DataFrame:
+    """Posts whose title or body holds the query, the last changed first."""
+    word = query.strip().lower()
+    hit = F.contains(F.lower("title"), F.lit(word)) | F.contains(F.lower("body"), F.lit(word)) if word else F.lit(True)
+    return posts.filter(hit).orderBy(F.desc("updated_at"), F.desc("created_at"), F.desc("post_id"))
+
+
+def quoted_ranges(text: Column, quotes: Column) -> Column:
+    """struct(start, end, quote) of the first place of each quote in the text, in order; a quote that overlaps an earlier one is left out."""
+    none = F.array().cast("array<struct<start:int,end:int,quote:string>>")
+
+    def add(acc: Column, quote: Column) -> Column:
+        word = F.trim(quote)
+        at = F.instr(text, word) - 1
+        free = (word != "") & (at >= 0) & ~F.exists(acc, lambda r: (at < r["end"]) & (at + F.length(word) > r["start"]))
+        return F.when(free, F.array_append(acc, F.struct(at.alias("start"), (at + F.length(word)).alias("end"), word.alias("quote")))).otherwise(acc)
+
+    return F.array_sort(F.aggregate(F.array_compact(quotes), none, add))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC
 from quillstone.functions import embeddings
-from quillstone.operators import aggregate, enrich, evaluate, hops, search, trees
+from quillstone.functions.text import spec_number
+from quillstone.operators import aggregate, enrich, evaluate, hops, search, select, trees
 from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import GENERIC_ANCHOR_TERMS, PROFILES
-from quillstone.plans.aggregates import _COUNTED, _clauses, _enriched
+from quillstone.plans.aggregates import _COUNTED, _clauses, _enriched, _registry_sql
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, words
 from quillstone.sources import records as record_files
@@ -149,6 +150,53 @@ def r14_m5_stage_fan_out(spark: SparkSession, folder: str) -> DataFrame:
     return hops.staged(hits, ["Stage 2", "Stage 3"], 10)
 
 
+_ENTRY_TERMS = list(dict.fromkeys(t.lower() for t in [QUERY, *TERMS, "paging", "tunnel"]))
+
+
+def _entry(t: str) -> str:
+    mutual = f"case when contains(lower(term), '{t}') or contains('{t}', lower(term)) then 0.55 else 0 end" if len(t) >= 5 else "0"
+    return f"case when lower(term) = '{t}' then 1.0 else {mutual} end"
+
+
+@query(f"""{_registry_sql('').replace('with ', 'with reg as (with ', 1)}),
+    {CORPUS.replace('corpus as', 'recs as')},
+    tt as (select spec_no, clause_title from (select spec_no, clause_title, count(*) as n from recs where clause_title <> '' group by all) qualify row_number() over (partition by spec_no order by n desc, clause_title) <= 16),
+    ss as (select spec_no, list(distinct stage_hint) as st from recs where stage_hint in ('Stage 2', 'Stage 3', 'else') group by spec_no),
+    st as (select v as spec_no, arg_min(spec_title, row_id) as title from (select *, replace(regexp_extract(spec_no, '([0-9]{{2}}[.]?[0-9]{{3}})', 1), '.', '') as v from specs where spec_title is not null) group by v),
+    u as (select spec_no, score * ({' + '.join(_entry(t) for t in _ENTRY_TERMS)}) as s from reg
+      union all select spec_no, case when lower(title) = '{QUERY.lower()}' then 8 when contains(lower(title), '{QUERY.lower()}') then 4.2 else 0 end from st
+      union all select spec_no, case when lower(clause_title) = '{QUERY.lower()}' then 9.5 when contains(lower(clause_title), '{QUERY.lower()}') then 5 else 0 end
+        + {' + '.join(f"case when contains(lower(clause_title), '{a.lower()}') then 2.6 else 0 end" for a in TERMS if len(a) >= 5)} from tt),
+    t as (select spec_no, sum(s::double) as s from u group by spec_no having sum(s) > 0)
+    select spec_no, round(s + case when list_has_any(st, ['Stage 2']) then 1.5 else 0 end + 1e-7, 3) as score from t left join ss using (spec_no) order by score desc, spec_no limit 20""")
+def r8_entry_specs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _enriched(spark, folder)
+    named = table(spark, folder, "specs").filter("spec_title is not null").groupBy(spec_number("spec_no").alias("spec_no")).agg(F.min_by("spec_title", "row_id").alias("title"))
+    titles = aggregate.top_values(rows.filter("clause_title <> ''"), "spec_no", "clause_title", 16)
+    return search.entry_specs(aggregate.term_registry(rows, []), titles, named, aggregate.spec_stages(rows), QUERY, ["paging", "tunnel"], TERMS, ["Stage 2"], 20)
+
+
+@query(f"""with {CORPUS}, x as (select distinct classification as label, lower(term) as term from candidate_scores where length(term) >= 8 and classification = 'strong')
+    select doc_id, array_to_string(list_sort(list(distinct label)), '|') as labels from corpus join x on contains(lower(text), x.term) group by doc_id""")
+def e13_s17_labels(spark: SparkSession, folder: str) -> DataFrame:
+    taxonomy = table(spark, folder, "candidate_scores").filter("length(term) >= 8 and classification = 'strong'").select(F.col("classification").alias("label"), "term")
+    return select.labelled_by(corpus(spark, folder), F.col("text"), "doc_id", taxonomy)
+
+
+@query(f"""with {CORPUS} select doc_id, instr(text, trim(row_header)) - 1 as start from corpus where trim(row_header) <> '' and contains(text, trim(row_header))""".replace("instr(text, trim(row_header)) - 1 as start", "cast(instr(text, trim(row_header)) - 1 as integer) as start"))
+def t11_quoted_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    ranges = select.quoted_ranges(F.col("text"), F.array("row_header", "row_header"))
+    return corpus(spark, folder).select("doc_id", F.inline(ranges)).select("doc_id", "start")
+
+
+@query("""select row_id as post_id from specs where contains(lower(spec_title), 'paging') or contains(lower(stage_hint), 'paging')""")
+def b1_o4_found_posts(spark: SparkSession, folder: str) -> DataFrame:
+    posts = table(spark, folder, "specs").select(
+        F.col("row_id").alias("post_id"), F.col("spec_title").alias("title"), F.col("stage_hint").alias("body"), F.col("registered_at").alias("created_at"), F.coalesce("withdrawn_at", "registered_at").alias("updated_at")
+    )
+    return select.found_posts(posts, " Paging ").select("post_id")
+
+
 @query()
 def m1_two_phase(spark: SparkSession, folder: str) -> DataFrame:
     return hops.two_phase(_enriched(spark, folder), TERMS)
