@@ -143,8 +143,17 @@ class MultiIndex:
             axis = np.linalg.svd(centred, full_matrices=False)[2][0]
             return (centred @ axis).argsort().argsort() * runs // len(centroids)
 
-        blocks = (run(self.first)[:, None] * runs + run(self.second)[None, :]).ravel()
-        at = runs * runs
+        grid = (run(self.first)[:, None] * runs + run(self.second)[None, :]).ravel()
+        # A block that holds too much is cut between its cells.
+        sizes = np.array(self.sizes[: len(grid)])
+        order = grid.argsort(kind="stable")
+        held, at, blocks = 0, -1, np.zeros(len(grid), np.int64)
+        for before, cell in zip([-1, *order.tolist()], order.tolist(), strict=False):
+            if before < 0 or grid[cell] != grid[before] or held + sizes[cell] > 1.5 * block:
+                at, held = at + 1, 0
+            blocks[cell] = at
+            held += sizes[cell]
+        at += 1
         extra = []
         for start, centroids in sorted(self.parts.values(), key=lambda x: x[0]):
             # Parts of an overfull cell fill blocks of their own.
