@@ -269,12 +269,12 @@ def j3_clauses_and_records(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(*DOCUMENT, "clause", F.coalesce("records", F.lit(0)).alias("records"), F.md5(F.coalesce(F.nullif("body", F.lit("")), "text", F.lit(""))).alias("body"))
 
 
-@query("""with base as (select 0 as part, doc_id, text from documents where doc_id % 2 = 0 union all select 1, doc_id, 'v2 ' || text from documents where doc_id % 3 = 0)
+@query("""with base as (select 0 as part, doc_id, text from documents union all select 1, doc_id, 'v2 ' || text from documents where collected_at >= timestamp '2025-06-01')
     select doc_id, md5(text) as body from base qualify row_number() over (partition by doc_id order by part desc) = 1""")
 def w8_u4_overlay(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    overlay = documents.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("v2 "), "text"))
-    return select.overlaid([documents.filter("doc_id % 2 = 0"), overlay], ["doc_id"]).select("doc_id", F.md5("text").alias("body"))
+    documents = table(spark, folder, "documents")
+    late = documents.filter("collected_at >= timestamp '2025-06-01'").select("doc_id", F.concat(F.lit("v2 "), "text").alias("text"))
+    return select.overlaid([documents.select("doc_id", "text"), late], ["doc_id"]).select("doc_id", F.md5("text").alias("body"))
 
 
 @query(f"""with {CORPUS} select distinct release_data, release, dense_rank() over (order by release_data, release) as place from corpus where release_data <> '' and release <> ''""")

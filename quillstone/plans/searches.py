@@ -93,10 +93,10 @@ def r4_f10_selected_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return search.selected_anchors(aggregate.anchors(enrich.structured_terms(corpus(spark, folder))), QUERY, 50).select("anchor", "score")
 
 
-@query(f"""with {CORPUS}, m as (select spec_no || ':' || coalesce(nullif(clause_id, ''), doc_id) as key, max(row_id % 17)::double as s, arg_min(clause_title, doc_id) as title from corpus group by 1)
+@query(f"""with {CORPUS}, m as (select spec_no || ':' || coalesce(nullif(clause_id, ''), doc_id) as key, max(length(text))::double as s, arg_min(clause_title, doc_id) as title from corpus group by 1)
     select key, round(s + 1.2 * {_OVERLAP('title')} - case when lower(trim(title)) in {words(GENERIC_TITLES)} then 6 else 0 end, 3)::double as score from m""")
 def r6_reranked_clauses(spark: SparkSession, folder: str) -> DataFrame:
-    hits = corpus(spark, folder).select("doc_id", "spec_no", "clause_id", "clause_title", F.lit("direct_hit").alias("reason_type"), (F.col("row_id") % 17).cast("double").alias("score"))
+    hits = corpus(spark, folder).select("doc_id", "spec_no", "clause_id", "clause_title", F.lit("direct_hit").alias("reason_type"), F.length("text").cast("double").alias("score"))
     return search.reranked(aggregate.merged_clauses(hits), QUERY).select("key", "score")
 
 
@@ -143,10 +143,10 @@ def r11_r12_r13_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return search.top(both.select("doc_id", F.round(search.hybrid_score(F.col("score"), F.col("close"), F.lit(1.0), ranking), 4).alias("score")), 10)
 
 
-@query(f"""with {CORPUS}, s as (select doc_id, stage_hint, (row_id % 23)::double as score from corpus where stage_hint in ('Stage 2', 'Stage 3'))
+@query(f"""with {CORPUS}, s as (select doc_id, stage_hint, length(text)::double as score from corpus where stage_hint in ('Stage 2', 'Stage 3'))
     select * from s qualify row_number() over (partition by stage_hint order by score desc, doc_id) <= 10""")
 def r14_m5_stage_fan_out(spark: SparkSession, folder: str) -> DataFrame:
-    hits = corpus(spark, folder).select("doc_id", "stage_hint", (F.col("row_id") % 23).cast("double").alias("score"))
+    hits = corpus(spark, folder).select("doc_id", "stage_hint", F.length("text").cast("double").alias("score"))
     return hops.staged(hits, ["Stage 2", "Stage 3"], 10)
 
 
