@@ -275,7 +275,11 @@ def _ranker(k: int, least: float):  # noqa: ANN202
                     held = entries[part : part + 4096]
                     scores = every[asking] @ every[held].T
                     floor = np.maximum(best[asking].min(1), least)
-                    rows, columns = np.nonzero(scores > floor[:, None])
+                    passing = scores > floor[:, None]
+                    if len(held) > k + 1 and np.count_nonzero(passing) > 4 * k * len(asking):
+                        # Before a query has seen its neighbourhood nearly all entries pass: only the k best can stay, and itself.
+                        passing &= scores >= np.partition(scores, -(k + 1), axis=1)[:, -(k + 1), None]
+                    rows, columns = np.nonzero(passing)
                     found = scores[rows, columns]
                     other = ids[asking[rows]] != ids[held[columns]]
                     rows, columns, found = rows[other], columns[other], found[other]
