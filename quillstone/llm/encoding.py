@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.sampling import bounded_sample
+
 #: Lines of non-ASCII text that the classifier is fitted on, and the longest part of a line that is used.
 SAMPLE, LINE, SEED = 12_000, 400, 5
 BUCKETS = 1 << 15
@@ -280,7 +282,7 @@ def fit_classifier(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = lines.withColumn("line", F.substring("line", 1, LINE)).filter(r"line rlike '[^\\x00-\\x7f]'")
-    sample = lines.orderBy(F.xxhash64("key", "at", F.lit(SEED)), "line").limit(SAMPLE).collect()
+    sample = bounded_sample(lines, F.xxhash64("key", "at", F.lit(SEED)), lines.count(), SAMPLE)
     return EncodingClassifier([r["line"] for r in sample])
 
 
