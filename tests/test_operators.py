@@ -98,3 +98,24 @@ def test_nearest(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "id int, v array<float>")
     assert [r.id for r in search.nearest(rows, "v", [1.0, 0.1], 3, "id").collect()] == [1, 2]
     assert rows.select(F.round(search.closeness(search.cosine("v", [1.0, 0.0])), 6).alias("c")).first()["c"] == 1.0
+
+
+def test_labels_ranges_and_posts(spark):
+    rows = spark.createDataFrame([("a", "The Paging Window"), ("b", None), ("c", "tunnel and paging")], "doc_id string, text string")
+    taxonomy = spark.createDataFrame([("radio", "Paging"), ("core", "tunnel"), ("radio", "window")], "label string, term string")
+    assert {tuple(r) for r in select.labelled_by(rows, F.col("text"), "doc_id", taxonomy).collect()} == {("a", "radio"), ("c", "core|radio")}
+    text = spark.createDataFrame([("one two three two", ["two three", " two ", "", None, "one", "absent"])], "t string, q array<string>")
+    found = text.select(select.quoted_ranges(F.col("t"), F.col("q")).alias("r")).first()["r"]
+    assert [tuple(r) for r in found] == [(0, 3, "one"), (4, 13, "two three")]
+    posts = spark.createDataFrame([(1, "Paging", None, 1, 1), (2, None, "on paging", 2, 1), (3, "x", "y", 3, 1)], "post_id int, title string, body string, updated_at int, created_at int")
+    assert [r.post_id for r in select.found_posts(posts, " PAGING ").collect()] == [2, 1]
+    assert [r.post_id for r in select.found_posts(posts, " ").collect()] == [3, 2, 1]
+
+
+def test_entry_specs(spark):
+    registry = spark.createDataFrame([("1", "create sm context", 5.0), ("2", "sm", 9.0)], "spec_no string, term string, score double")
+    titles = spark.createDataFrame([("1", "Create SM Context service", 1), ("3", "Create SM Context service", 17)], "spec_no string, clause_title string, place int")
+    names = spark.createDataFrame([("2", "Create SM Context service operations"), ("4", None)], "spec_no string, title string")
+    stages = spark.createDataFrame([("2", "Stage 3")], "spec_no string, stages string")
+    found = search.entry_specs(registry, titles, names, stages, "Create SM Context service", ["context"], ["Create SM Context"], ["Stage 3"], 5).collect()
+    assert [r.spec_no for r in found] == ["1", "2"]
