@@ -4,8 +4,8 @@ A multinomial classifier on hashed byte bigrams tells clean from garbled stretch
 encodings garbled them. Its garbled examples are made from the corpus itself: lines of a bounded, seeded sample are
 encoded in one encoding and decoded in another. As the sample holds a few garbled lines of its own, it is cleaned by the
 first fit and the classifier fitted once more. Every text is then classified whole, stretch by stretch and line by line:
-a predicted chain is inverted, and accepted if the inverse is strictly decodable and its characters are such as clean
-texts have. Where bytes were lost to replacement characters the text is found, but cannot be restored.
+a predicted chain is inverted, and accepted if the inverse is strictly decodable to assigned characters. Of several such
+chains one whose characters are such as clean texts have goes first; characters that they lack reject none. Where bytes were lost to replacement characters the text is found, but cannot be restored.
 
 Null, empty and pure ASCII texts are clean. The result does not depend on the order or number of rows, but for the
 sample. Several chains in one text are found and inverted each.
@@ -14,6 +14,7 @@ sample. Several chains in one text are found and inverted each.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ STRETCH_ODDS, LINE_ODDS = 8.0, 16.0
 #: Log-odds beyond which a stretch is garbled although no chain can be inverted: bytes were dropped on the way.
 CERTAIN_ODDS = 40.0
 LOST = "�"
+#: Share of the characters beyond ASCII from which on a page of 64 characters is a familiar one.
+FAMILIAR = 5e-5
 
 #: Chains of (true encoding, encoding it was read with), the first step first.
 CHAINS: list[tuple[tuple[str, str], ...]] = [
@@ -131,6 +134,11 @@ def stretches(line: str) -> Iterator[tuple[int, int]]:
             yield at, min(at + 24, m.end())
 
 
+def _assigned(text: str) -> bool:
+    """Whether all characters beyond ASCII are assigned ones of text: no controls, surrogates or private ones."""
+    return all(c < "\x80" or unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") for c in text)
+
+
 def _around(line: str, start: int, end: int) -> str:
     return (line[start - 1] if start else " ") + line[start:end] + (line[end] if end < len(line) else " ")
 
@@ -159,40 +167,58 @@ class EncodingClassifier:
             # A line end keeps the bigrams of neighbouring stretches apart.
             if texts:
                 counts[k] += np.bincount(bigrams("\n".join(texts)), minlength=BUCKETS)
-        self.pages = {p for p, n in pages.items() if n > 20}
+        self.pages = {p for p, n in pages.items() if n > FAMILIAR * pages.total()}
         # All classes are counted over the same lines, so their rates compare although few lines fit some encodings.
         rates = np.log(counts / counts[0].sum())
         self.odds = (rates[1:] - rates[0]).T.astype(np.float32)
 
-    def _plausible(self, text: str) -> bool:
-        return all(ord(c) < 128 or ord(c) >> 6 in self.pages and not 0x80 <= ord(c) < 0xA0 for c in text)
+    def _familiar(self, text: str) -> bool:
+        return all(ord(c) < 128 or ord(c) >> 6 in self.pages for c in text)
 
     def scores(self, text: str) -> np.ndarray:
         return self.odds[bigrams(text)].sum(0)
 
     def _inverse(self, line: str, start: int, end: int, chain: tuple) -> tuple[int, int, str] | None:
-        """The inverse of a stretch, which may begin or end within a character of its bytes."""
+        """The inverse of a stretch, which may begin or end within a character of its bytes; a familiar one if there is one."""
+        other = None
+        if LOST in line[start:end] and chain[-1][1] == "utf-8":
+            return None
         for s, e in ((start, end), (start, end + 1), (start - 1, end), (start - 1, end + 1), *((start + i, end - j) for i in range(3) for j in range(3) if i + j)):
-            if 0 <= s < e <= len(line):
+            if 0 <= s < e <= len(line) and LOST not in line[s:e]:
                 before = restore(line[s:e], chain)
-                if before is not None and before != line[s:e] and self._plausible(before):
-                    return s, e, before
-        return None
+                if before is not None and before != line[s:e] and _assigned(before):
+                    if self._familiar(before):
+                        return s, e, before
+                    other = other or (s, e, before)
+        return other
 
     def _judge(self, line: str, start: int, end: int, odds: np.ndarray, least: float) -> tuple | None:
         """(chain, start, end, original or null) if a chain is likelier than clean by ``least`` and holds."""
-        for k in odds.argsort()[::-1][:6]:
+        other, proven = None, False
+        order = odds.argsort()[::-1]
+        for k in order[:6]:
             if odds[k] < least:
                 break
             found = self._inverse(line, start, end, CHAINS[k])
-            if found:
+            if found and self._familiar(found[2]):
                 return (int(k), *found)
             # Where the inverse cannot tell, every bigram must speak for the chain, or all together clearly.
-            if _lost(line[start:end], CHAINS[k]) and (
-                LOST in line[start:end] or odds[k] > 2 * STRETCH_ODDS or self.odds[bigrams(_around(line, start, end)), k].min() > 0.05
-            ):
+            clear = odds[k] > 2 * STRETCH_ODDS or self.odds[bigrams(_around(line, start, end)), k].min() > 0.05
+            if found:
+                # Only UTF-8 proves itself: the other encodings have a character for almost any bytes.
+                proof = CHAINS[k][0][0] == "utf-8"
+                if proof > proven if other else proof or odds[k] > CERTAIN_ODDS:
+                    other, proven = (int(k), *found), proof
+            elif other is None and _lost(line[start:end], CHAINS[k]) and (LOST in line[start:end] or clear):
                 return int(k), start, end, None
-        best = int(odds.argmax())
+        best = int(order[0])
+        if not proven:
+            # Characters that the sample lacks say little for their own chain, but whatever is garbled may prove itself.
+            for k in order[6:] if odds[best] >= least else ():
+                if CHAINS[k][0][0] == "utf-8" and (odds[k] >= least or odds[best] > CERTAIN_ODDS) and (found := self._inverse(line, start, end, CHAINS[k])):
+                    return (int(k), *found)
+        if other:
+            return other
         return (best, start, end, None) if odds[best] > CERTAIN_ODDS else None
 
     def _widened(self, line: str, first: int, last: int, verdicts: list[tuple | None]) -> list[tuple | None]:
@@ -251,6 +277,8 @@ class EncodingClassifier:
             best = int(total.argmax())
             if total[best] > LINE_ODDS:
                 inverses = [self._inverse(line, s, e, CHAINS[best]) for s, e in rest]
+                if CHAINS[best][0][0] != "utf-8" and total[best] <= CERTAIN_ODDS:
+                    inverses = [x if x and self._familiar(x[2]) else None for x in inverses]
                 if sum(x is not None for x in inverses) * 2 > len(rest):
                     found += [(best, *x) for x in inverses if x]
         return found

@@ -66,3 +66,11 @@ def test_frames(spark):
     assert set(got) == {1000, 1001, 1005, 1006} and got[1000] == CLEAN["fr"] == got[1006] and got[1001] is None and got[1005].endswith("débit limité")
     assert repaired(frame).filter("doc_id = 1006").count() == 2
     assert repaired(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rare, wrong", [("ქართული ტექსტი აქ არის", w) for w in ("latin-1", "cp1252", "mac_roman")] + [("works for me ✅ and ☂ too", "mac_roman"), ("የአማርኛ ጽሑፍ", "latin-1")])
+def test_pages_the_sample_lacks_are_restored(model, rare, wrong):
+    garbled = garble(rare, (("utf-8", wrong),))
+    assert not model._familiar(rare) and model.repair(rare) == ([], None)
+    chains, text = model.repair(garbled)
+    assert chains and text == rare
