@@ -31,6 +31,13 @@ PROFILES = {
     "anchor_boost": {"text": 0.9, "clause_title": 1.8, "row_header": 1.5, "stage_hint": 1.2},
     "hybrid": {"text": 0.7, "clause_title": 1.5, "row_header": 1.0, "stage_hint": 1.2},
 }
+#: The profiles over ``enriched`` records, with the fields that are extracted.
+ENRICHED_PROFILES = {
+    "bm25": {**PROFILES["bm25"], "anchor_terms": 1.7, "ie_names": 1.9, "message_names": 1.9, "procedure_names": 1.5},
+    "table_focus": {**PROFILES["table_focus"], "anchor_terms": 1.4},
+    "anchor_boost": {**PROFILES["anchor_boost"], "anchor_terms": 2.3, "ie_names": 2.0, "message_names": 2.0},
+    "hybrid": {**PROFILES["hybrid"], "anchor_terms": 0.5, "ie_names": 1.7, "message_names": 1.7, "procedure_names": 1.3},
+}
 K1, B = 1.2, 0.75
 
 
@@ -193,6 +200,36 @@ def bm25(records: DataFrame, queries: DataFrame, weights: dict[str, float], most
     return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
 
 
+def profile_scores(records: DataFrame, queries: DataFrame, profiles: dict[str, dict[str, float]], weight: str = "retrieval_weight", key: str = "doc_id") -> DataFrame:
+    """profile, query_id, key and score of every record that a query (query_id, query) matches in a field of the profile.
+
+    The score is the weighted BM25 per field times the record's ``weight``. Fields may be texts or arrays of terms. The
+    postings are the same for all profiles; the profiles' weights are a row per profile and field.
+    """
+    arrays = {f for f, kind in records.dtypes if kind.startswith("array")}
+    names = list(dict.fromkeys(f for p in profiles.values() for f in p))
+    of = lambda f: tokens(F.array_join(f, " ") if f in arrays else f)
+    held = records.select(key, F.col(weight).alias("counts"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), of(f).alias("tokens")) for f in names])))
+    held = held.withColumn("length", F.size("tokens"))
+    averages = held.groupBy("field").agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("n"))  # a row per field
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token"))
+    spread = held.select(key, "counts", "field", "length", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    postings = spread.groupBy("token", "field", key, "counts", "length").agg(F.count(F.lit(1)).alias("tf"))
+    frequencies = postings.groupBy("token", "field").agg(F.count(F.lit(1)).alias("df"))
+    weights = records.sparkSession.createDataFrame([(p, f, float(w)) for p, fs in profiles.items() for f, w in fs.items()], "profile string, field string, weight double")
+    known = postings.join(frequencies, ["token", "field"]).join(F.broadcast(averages), "field").join(F.broadcast(weights), "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("counts") * F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    by_token = known.groupBy("profile", "token", key).agg(F.sum(part).alias("part"))
+    return asked.join(by_token, "token").groupBy("profile", "query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def placed(scores: DataFrame, by: Sequence[str], most: int, key: str = "doc_id") -> DataFrame:
+    """The ``most`` best rows per ``by`` with their place from 1."""
+    best = Window.partitionBy(*by).orderBy(F.desc("score"), key)
+    return scores.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from quillstone.functions import embeddings
 from quillstone.functions.text import spec_number
 from quillstone.operators import aggregate, enrich, evaluate, hops, search, select, trees
 from quillstone.operators.hierarchy import hierarchy
-from quillstone.operators.search import GENERIC_ANCHOR_TERMS, PROFILES
+from quillstone.operators.search import ENRICHED_PROFILES, GENERIC_ANCHOR_TERMS, PROFILES
 from quillstone.plans.aggregates import _COUNTED, _clauses, _enriched, _registry_sql
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, words
@@ -121,6 +121,13 @@ def r10_o1_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25(corpus(spark, folder), _questions(spark, folder), PROFILES["bm25"], 10).select("query_id", "place", "score")
 
 
+@query()
+def r10_r11_enriched_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    """The profiles with their extracted fields and the records' weights; ``r10_o1_bm25`` ranks by plain fields alone."""
+    scores = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), ENRICHED_PROFILES)
+    return search.placed(scores, ["profile", "query_id"], 10).select("profile", "query_id", "place", "doc_id", "score")
+
+
 @query("""with q as (select list_transform(embedding, lambda x: x::double) as q from embeddings where vec_id = 0)
     select vec_id, round(1 / (1 + acos(greatest(least(list_cosine_similarity(list_transform(embedding, lambda x: x::double), q), 1), -1))), 6) as score from embeddings, q order by 2 desc, 1 limit 20""")
 def v2_v3_nearest(spark: SparkSession, folder: str) -> DataFrame:

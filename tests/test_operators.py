@@ -119,3 +119,15 @@ def test_entry_specs(spark):
     stages = spark.createDataFrame([("2", "Stage 3")], "spec_no string, stages string")
     found = search.entry_specs(registry, titles, names, stages, "Create SM Context service", ["context"], ["Create SM Context"], ["Stage 3"], 5).collect()
     assert [r.spec_no for r in found] == ["1", "2"]
+
+
+def test_profiles_weigh_extracted_fields(spark, enriched):
+    asked = spark.createDataFrame([(0, "PWF"), (1, "paging")], "query_id int, query string")
+    scores = search.profile_scores(enriched, asked, search.ENRICHED_PROFILES)
+    got = {(r.profile, r.query_id, r.doc_id): r.score for r in scores.collect()}
+    plain = {(r.query_id, r.doc_id): r.score for r in search.bm25(enriched, asked, search.PROFILES["bm25"], 10).collect()}
+    weight = {r.doc_id: r.retrieval_weight for r in enriched.collect()}
+    assert set(search.ENRICHED_PROFILES) == {p for p, *_ in got}
+    assert got["bm25", 0, "d1"] > plain[0, "d1"] * weight["d1"]  # the anchor term counts beside the text
+    halved = search.profile_scores(enriched.withColumn("retrieval_weight", F.col("retrieval_weight") / 2), asked, search.ENRICHED_PROFILES)
+    assert {(r.profile, r.query_id, r.doc_id): r.score for r in halved.collect()} == pytest.approx({k: v / 2 for k, v in got.items()}, abs=1e-5)
