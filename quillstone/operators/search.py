@@ -51,6 +51,11 @@ class Ranking:
     title: float = 1.0
     stage: float = 1.0
 
+    def weights(self) -> dict[str, float]:
+        """The field weights of the profile, boosted."""
+        boosts = {"clause_title": self.title, "stage_hint": self.stage}
+        return {f: w * boosts.get(f, 1.0) for f, w in ENRICHED_PROFILES[self.profile].items()}
+
 
 def _sum(parts: list[Column]) -> Column:
     return reduce(Column.__add__, parts, F.lit(0.0))
@@ -253,6 +258,32 @@ def nearest(vectors: DataFrame, vector: str, query: Sequence[float], most: int,
     return top(scored, most, key=key)
 
 
+def unit(vector: Column | str, size: int) -> Column:
+    """The vector of length 1 in double precision; null unless it has ``size`` finite elements and a direction."""
+    v = F.transform(col(vector), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    fit = (F.size(v) == size) & (norm > 0) & (norm < float("inf"))
+    return F.when(fit, F.transform(v, lambda x: x / norm))
+
+
+def hybrid(sparse: DataFrame, vectors: DataFrame, asked: DataFrame, by: Sequence[str], most: int, key: str = "doc_id") -> DataFrame:
+    """The ``most`` best per ``by`` of all rows of ``sparse`` by BM25 and closeness, with score and place.
+
+    ``sparse`` (``by``, query_id, key, score, sparse, vector) has every lexical match, its score times its record's weight,
+    and the boosts; ``vectors`` (key, unit) and ``asked`` (query_id, unit) have unit vectors. A row without vector has
+    closeness 0. As closeness is at most 1, a row whose best possible score is below the ``most``-th lexical part of its
+    query cannot be among the best, and needs no vector; the result is the same as without this.
+    """
+    rows = sparse.withColumn("lexical", F.col("score") * F.col("sparse"))
+    rank = Window.partitionBy(*by).orderBy(F.desc("lexical"))
+    floor = rows.withColumn("n", F.row_number().over(rank)).filter(F.col("n") == most).select(*by, F.col("lexical").alias("floor"))
+    possible = rows.join(floor, list(by), "left").filter(F.col("floor").isNull() | (F.col("lexical") + 9 * F.col("vector") >= F.col("floor") - 1e-3))
+    pairs = possible.join(vectors.select(key, F.col("unit").alias("_v")), key, "left").join(asked.select("query_id", F.col("unit").alias("_q")), "query_id", "left")
+    cos = F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    close = F.coalesce(closeness(cos), F.lit(0.0))
+    return placed(pairs.withColumn("score", F.round(F.col("lexical") + close * 9 * F.col("vector"), 4)).drop("_v", "_q", "lexical", "floor"), by, most, key)
+
+
 def hybrid_score(sparse: Column, close: Column, weight: Column, ranking: Ranking) -> Column:
     return sparse * weight * ranking.sparse + close * 9 * ranking.vector
 

@@ -16,7 +16,7 @@ from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, words
 from quillstone.sources import records as record_files
 from quillstone.sources.corpus import corpus
-from quillstone.sources.tables import DOCUMENT, table
+from quillstone.sources.tables import DOCUMENT, current_records, table
 
 R = Registry()
 QUERIES, ORACLES, query = R.queries, R.oracles, R.query
@@ -136,18 +136,19 @@ def v2_v3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest(vectors, "embedding", asked, 20, "vec_id")
 
 
+def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of the current records, and those of the questions, which are records themselves."""
+    rows = current_records(table(spark, folder, "records"), {"row_id": F.col("row_id"), "unit": search.unit("dense_vector", 64)})
+    return rows, rows.filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "unit")
+
+
 @query()
 def r11_r12_r13_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    """Lexical candidates of one query, ranked by BM25 and closeness together."""
+    """Every lexical match of each question, ranked by BM25 and closeness together."""
     ranking = search.Ranking()
-    rows = table(spark, folder, "records").filter(F.size("dense_vector") == 64)
-    asked = rows.orderBy("row_id").select("dense_vector").first()
-    question = spark.createDataFrame([(0, QUERY)], "query_id int, query string")
-    sparse = search.bm25(corpus(spark, folder), question, PROFILES[ranking.profile], 50)
-    close = F.coalesce(search.closeness(search.cosine("dense_vector", asked[0])), F.lit(0.0))
-    vectors = rows.select("doc_id", close.alias("close")).groupBy("doc_id").agg(F.max("close").alias("close"))
-    both = sparse.join(vectors, "doc_id", "left").na.fill(0.0, ["close"])
-    return search.top(both.select("doc_id", F.round(search.hybrid_score(F.col("score"), F.col("close"), F.lit(1.0), ranking), 4).alias("score")), 10)
+    sparse = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), {ranking.profile: ranking.weights()})
+    boosts = {"sparse": F.lit(ranking.sparse), "vector": F.lit(ranking.vector)}
+    return search.hybrid(sparse.withColumns(boosts), *_hybrid_vectors(spark, folder), ["query_id"], 10).select("query_id", "place", "doc_id", "score")
 
 
 @query(f"""with {CORPUS}, s as (select doc_id, stage_hint, length(text)::double as score from corpus where stage_hint in ('Stage 2', 'Stage 3'))

@@ -131,3 +131,25 @@ def test_profiles_weigh_extracted_fields(spark, enriched):
     assert got["bm25", 0, "d1"] > plain[0, "d1"] * weight["d1"]  # the anchor term counts beside the text
     halved = search.profile_scores(enriched.withColumn("retrieval_weight", F.col("retrieval_weight") / 2), asked, search.ENRICHED_PROFILES)
     assert {(r.profile, r.query_id, r.doc_id): r.score for r in halved.collect()} == pytest.approx({k: v / 2 for k, v in got.items()}, abs=1e-5)
+
+
+def test_hybrid_ranks_all_lexical_matches(spark):
+    rows = [(q, f"d{i:03}", 100.0 - i / 10 if q else 10.0 - i / 100) for q in (0, 1) for i in range(120)]
+    sparse = spark.createDataFrame(rows, "query_id int, doc_id string, score double").withColumns({"sparse": F.lit(0.45), "vector": F.lit(1.0)})
+    axis = lambda i: [1.0, 0.0] if i in (99, 119) else [0.0, 1.0]
+    raw = spark.createDataFrame([(f"d{i:03}", axis(i)) for i in range(120) if i != 5] + [("d005", None)], "doc_id string, v array<double>")
+    vectors = raw.select("doc_id", search.unit("v", 2).alias("unit"))
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, [2.0, 0.0])], "query_id int, v array<double>").select("query_id", search.unit("v", 2).alias("unit"))
+    got = search.hybrid(sparse, vectors, asked, ["query_id"], 10).collect()
+    best = {(r.query_id, r.place): r.doc_id for r in got}
+    assert len(got) == 20 and best[0, 1] == "d099" and best[0, 2] == "d119"  # far beyond the 50th lexical place
+    close = lambda i: 0 if i == 5 else 1.0 if i in (99, 119) else 1 / (1 + 1.5707963267948966)
+    for q in (0, 1):
+        want = sorted((-round(0.45 * s + 9 * close(int(d[1:])), 4), d) for p, d, s in rows if p == q)[:10]
+        assert [best[q, k + 1] for k in range(10)] == [d for _, d in want]
+
+
+def test_boosts_reach_the_profile():
+    weights = search.Ranking(title=2.0, stage=3.0).weights()
+    plain = search.Ranking().weights()
+    assert weights["clause_title"] == 2 * plain["clause_title"] and weights["stage_hint"] == 3 * plain["stage_hint"] and weights["text"] == plain["text"]
