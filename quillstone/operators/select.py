@@ -93,11 +93,40 @@ def grouped_sources(documents: DataFrame) -> DataFrame:
     return documents.groupBy(named("release", "unknown-release").alias("release"), named("spec_no", "unknown-spec").alias("spec")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+#: Lengths of the grams by which terms and texts are joined; a term has the longest that it holds.
+GRAMS = (8, 5, 3, 2, 1)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` characters."""
+    last = F.length(text) - size + 1
+    each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(last > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
 def labelled_by(rows: DataFrame, text: Column, key: str, taxonomy: DataFrame) -> DataFrame:
-    """key and the labels, joined, of which ``text`` holds a term regardless of case; ``taxonomy`` (label, term) is broadcast if Spark finds it small."""
-    low = rows.select(key, F.lower(text).alias("_text"))
-    found = low.join(taxonomy.select("label", F.lower("term").alias("term")).distinct(), F.contains(F.col("_text"), F.col("term")))
-    return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
+    """key and the labels, joined, of which ``text`` holds a term regardless of case; ``taxonomy`` has label and term.
+
+    Equal texts are searched once. A term is looked up by its gram that the fewest texts hold, among the distinct grams of
+    the texts, and then verified. Only grams that some term has are shuffled. A key on several rows has all their labels.
+    """
+    low = rows.select(key, F.lower(text).alias("_text")).filter("_text is not null")
+    texts = low.select("_text").distinct().withColumn("_id", F.xxhash64("_text", F.lit(1)))
+    terms = taxonomy.select("label", F.lower("term").alias("term")).filter("term is not null and label is not null").distinct()
+    size = F.coalesce(*[F.when(F.length("term") >= n, F.lit(n)) for n in GRAMS])
+    of_terms = terms.filter("term <> ''").select("term").distinct().withColumn("_size", size)
+    of_terms = of_terms.select("term", F.explode(F.coalesce(*[F.when(F.col("_size") == n, _grams(F.col("term"), n)) for n in GRAMS])).alias("gram"))
+    grams = texts.select("_id", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in GRAMS])).alias("gram"))
+    held = grams.join(of_terms.select("gram").distinct(), "gram", "left_semi")
+    uses = held.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    # A gram that no text holds rules its term out.
+    rarest = of_terms.join(uses, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r")).filter("r.uses > 0")
+    pairs = held.join(rarest.select("term", F.col("r.gram").alias("gram")), "gram").select("_id", "term")
+    found = pairs.join(texts, "_id").filter(F.contains(F.col("_text"), F.col("term"))).join(terms, "term").select("_text", "label").distinct()
+    anywhere = terms.filter("term = ''").select("label").distinct().crossJoin(texts.select("_text"))  # as contains has it; at most a row per label
+    by_text = found.unionByName(anywhere).groupBy("_text").agg(F.collect_set("label").alias("_labels"))
+    by_key = low.join(by_text, "_text").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_labels"))).alias("_l"))
+    return by_key.select(key, F.array_join(F.array_sort("_l"), "|").alias("labels"))
 
 
 def found_posts(posts: DataFrame, query: str) -> DataFrame:

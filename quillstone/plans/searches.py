@@ -191,6 +191,14 @@ def e13_s17_labels(spark: SparkSession, folder: str) -> DataFrame:
     return select.labelled_by(corpus(spark, folder), F.col("text"), "doc_id", taxonomy)
 
 
+@query(f"""with {CORPUS}, x as (select distinct classification as label, lower(term) as term from candidate_scores)
+    select doc_id, array_to_string(list_sort(list(distinct label)), '|') as labels from corpus join x on contains(lower(text), x.term) group by doc_id""")
+def e13_s17_all_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of the whole taxonomy; ``e13_s17_labels`` looks for its long strong terms."""
+    taxonomy = table(spark, folder, "candidate_scores").select(F.col("classification").alias("label"), "term")
+    return select.labelled_by(corpus(spark, folder), F.col("text"), "doc_id", taxonomy)
+
+
 @query(f"""with {CORPUS} select doc_id, instr(text, trim(row_header)) - 1 as start from corpus where trim(row_header) <> '' and contains(text, trim(row_header))""".replace("instr(text, trim(row_header)) - 1 as start", "cast(instr(text, trim(row_header)) - 1 as integer) as start"))
 def t11_quoted_ranges(spark: SparkSession, folder: str) -> DataFrame:
     ranges = select.quoted_ranges(F.col("text"), F.array("row_header", "row_header"))

@@ -153,3 +153,15 @@ def test_boosts_reach_the_profile():
     weights = search.Ranking(title=2.0, stage=3.0).weights()
     plain = search.Ranking().weights()
     assert weights["clause_title"] == 2 * plain["clause_title"] and weights["stage_hint"] == 3 * plain["stage_hint"] and weights["text"] == plain["text"]
+
+
+def test_labels_of_terms_of_any_length(spark):
+    from __spark_entry__ import oracle_sql, queries
+
+    assert "length(term)" not in oracle_sql()["e13_s17_all_labels"] and "e13_s17_all_labels" in queries()
+    texts = {"a": "Paging window of the PSF", "b": "x", "c": "", "d": None, "e": "Tunnel setup requests", "f": "Paging window of the PSF", "g": "naïve 窓 text"}
+    terms = [("normal", "psf"), ("reject", "x"), ("strong", "Tunnel Setup Request"), ("normal", "窓"), ("strong", "paging windows"), ("reject", "paging w"), ("strong", "NAÏVE")]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r.labels for r in select.labelled_by(rows, F.col("text"), "doc_id", spark.createDataFrame(terms, "label string, term string")).collect()}
+    want = {d: "|".join(sorted({n for n, t in terms if t.lower() in text.lower()})) for d, text in texts.items() if text}
+    assert got == {d: n for d, n in want.items() if n} and got["a"] == "normal|reject"
