@@ -100,10 +100,11 @@ def url_quoted(x: Column | str) -> Column:
     return F.replace(F.url_encode(col(x)), F.lit("+"), F.lit("%20"))
 
 
-def chunks(x: Column | str, size: int = 2000, most: int = 3) -> Column:
-    """The first ``most`` pieces of ``size`` characters of the trimmed text; empty for an empty text."""
+def chunks(x: Column | str, size: int = 2000, most: int | None = None) -> Column:
+    """The pieces of ``size`` characters of the trimmed text, all or the first ``most``; empty for an empty text."""
     whole = strip_white(F.coalesce(col(x), F.lit("")))
-    count = F.least(F.ceil(F.length(whole) / size).cast("int"), F.lit(most))
+    count = F.ceil(F.length(whole) / size).cast("int")
+    count = count if most is None else F.least(count, F.lit(most))
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(whole, i * size + 1, F.lit(size)))).otherwise(F.array())
 
 

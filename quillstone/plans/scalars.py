@@ -49,6 +49,13 @@ def x10_x14_x16_x17_x24_labels(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with t as (select row_id, {strip("coalesce(text, '')")} as t from clauses)
     select row_id, cast(i as integer) as chunk_no, substr(t, i * 2000 + 1, 2000) as chunk from (select *, unnest(range(least(3, cast(ceil(length(t) / 2000.0) as bigint)))) as i from t)""")
 def x12_p9_text_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "clauses").select("row_id", F.posexplode(text.chunks("text", most=3)).alias("chunk_no", "chunk"))
+
+
+@query(f"""with t as (select row_id, {strip("coalesce(text, '')")} as t from clauses)
+    select row_id, cast(i as integer) as chunk_no, substr(t, i * 2000 + 1, 2000) as chunk from (select *, unnest(range(cast(ceil(length(t) / 2000.0) as bigint))) as i from t)""")
+def x12_p9_all_text_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of the texts; ``x12_p9_text_chunks`` has the first three."""
     return table(spark, folder, "clauses").select("row_id", F.posexplode(text.chunks("text")).alias("chunk_no", "chunk"))
 
 

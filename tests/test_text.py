@@ -93,3 +93,9 @@ def test_hash_embedding():
     v = hash_embedding("alpha beta")
     assert len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-4
     assert hash_embedding("alpha beta") == v and hash_embedding("") == [0.0] * 16 == hash_embedding(None)
+
+
+def test_chunks_leave_nothing_out(spark):
+    long = "".join(chr(97 + i % 26) for i in range(9001))
+    got = spark.createDataFrame([(long,)], "t string").select(text.chunks("t").alias("all"), text.chunks("t", most=3).alias("few")).first()
+    assert "".join(got["all"]) == long and len(got["all"]) == 5 and got["few"] == got["all"][:3]
