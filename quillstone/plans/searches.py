@@ -132,8 +132,18 @@ def r10_r11_enriched_bm25(spark: SparkSession, folder: str) -> DataFrame:
     select vec_id, round(1 / (1 + acos(greatest(least(list_cosine_similarity(list_transform(embedding, lambda x: x::double), q), 1), -1))), 6) as score from embeddings, q order by 2 desc, 1 limit 20""")
 def v2_v3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    asked = vectors.filter("vec_id = 0").first()["embedding"]
-    return search.nearest(vectors, "embedding", asked, 20, "vec_id")
+    asked = vectors.filter("vec_id = 0").first()
+    return search.nearest(vectors if asked else vectors.limit(0), "embedding", asked["embedding"] if asked else [1.0], 20, "vec_id")
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+    s as (select q.vec_id as query_id, v.vec_id, round(1 / (1 + acos(greatest(least(list_cosine_similarity(v.v, q.v), 1), -1))), 6) as score from v join v q on q.vec_id % 100 = 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as place, vec_id, score from s qualify place <= 20""")
+def v2_v3_all_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest of every vector whose id is divisible by 100; ``v2_v3_nearest`` asks for one."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.nearest_to_each(vectors, asked, "embedding", 20, "vec_id").select("query_id", "place", "vec_id", "score")
 
 
 def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

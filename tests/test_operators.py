@@ -165,3 +165,14 @@ def test_labels_of_terms_of_any_length(spark):
     got = {r.doc_id: r.labels for r in select.labelled_by(rows, F.col("text"), "doc_id", spark.createDataFrame(terms, "label string, term string")).collect()}
     want = {d: "|".join(sorted({n for n, t in terms if t.lower() in text.lower()})) for d, text in texts.items() if text}
     assert got == {d: n for d, n in want.items() if n} and got["a"] == "normal|reject"
+
+
+def test_nearest_to_each_of_many(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, [0.0] * 8), (301, None)], "vec_id long, v array<double>")
+    asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r.place): r.vec_id for r in search.nearest_to_each(vectors, asked, "v", 4, "vec_id", rows=64).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {(q, k + 1): int(i) for q in (0, 100, 200) for k, i in enumerate(np.argsort(-(u @ u[q]))[:4])}
