@@ -157,8 +157,19 @@ def document_summaries(clauses: DataFrame, document: list[str]) -> DataFrame:
     )
 
 
+def distinct_texts(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Per key its distinct texts as rows, with their place from 1 in order of first use; empty ones are left out."""
+    first = hits.filter("text <> ''").groupBy(*keys, "text").agg(F.min(F.struct(*order)).alias("_first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "text"))).drop("_first")
+
+
 def merged_texts(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Per key the first title and the distinct texts in order, joined; rows of one key only are gathered."""
-    rows = hits.groupBy(*keys).agg(F.min_by("clause_title", F.struct(*order)).alias("title"), F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("rows"))
-    texts = F.array_distinct(F.filter(F.transform("rows", lambda r: r["text"]), lambda t: t != ""))
+    """Per key the first title and the distinct texts in order, joined; for keys whose distinct texts fit a row.
+
+    Equal texts are dropped before the texts of a key are gathered. ``distinct_texts`` has them as rows, for keys of any size.
+    """
+    titles = hits.groupBy(*keys, "text").agg(F.min_by("clause_title", F.struct(*order)).alias("title"), F.min(F.struct(*order)).alias("first"))
+    each = F.when(F.col("text") != "", F.struct("first", "text"))
+    rows = titles.groupBy(*keys).agg(F.min_by("title", "first").alias("title"), F.array_sort(F.collect_list(each)).alias("rows"))
+    texts = F.transform("rows", lambda r: r["text"])
     return rows.select(*keys, "title", F.size(texts).cast("bigint").alias("texts"), F.md5(F.array_join(texts, "\n")).alias("body"))

@@ -201,6 +201,13 @@ def g12_merged_texts(spark: SparkSession, folder: str) -> DataFrame:
     return aggregate.merged_texts(corpus(spark, folder), ["spec_no", "clause_id"], ["row_id"])
 
 
+@query(f"""with {CORPUS}, t as (select spec_no, clause_id, text, min(row_id) as first from corpus where text <> '' group by all)
+    select spec_no, clause_id, cast(row_number() over (partition by spec_no, clause_id order by first) as integer) as place, text from t""")
+def g12_distinct_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that ``g12_merged_texts`` joins, as rows."""
+    return aggregate.distinct_texts(corpus(spark, folder), ["spec_no", "clause_id"], ["row_id"]).select("spec_no", "clause_id", "place", "text")
+
+
 @query(f"""select coalesce(nullif({strip('release')}, ''), 'unknown-release') as release, coalesce(nullif({strip('spec_no')}, ''), 'unknown-spec') as spec, count(*) as documents from documents group by all""")
 def g17_grouped_sources(spark: SparkSession, folder: str) -> DataFrame:
     return select.grouped_sources(table(spark, folder, "documents"))

@@ -176,3 +176,12 @@ def test_nearest_to_each_of_many(spark):
     got = {(r.query_id, r.place): r.vec_id for r in search.nearest_to_each(vectors, asked, "v", 4, "vec_id", rows=64).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert got == {(q, k + 1): int(i) for q in (0, 100, 200) for k, i in enumerate(np.argsort(-(u @ u[q]))[:4])}
+
+
+def test_distinct_texts_are_rows(spark):
+    rows = [(i, "", "late" if i else "first", f"t{i % 3}") for i in range(600)] + [(600, "k", "only", "")]
+    hits = spark.createDataFrame(rows, "row_id long, k string, clause_title string, text string")
+    got = aggregate.distinct_texts(hits, ["k"], ["row_id"]).orderBy("place").collect()
+    assert [(r.k, r.place, r.text) for r in got] == [("", 1, "t0"), ("", 2, "t1"), ("", 3, "t2")]
+    merged = {r.k: (r.title, r.texts) for r in aggregate.merged_texts(hits, ["k"], ["row_id"]).collect()}
+    assert merged == {"": ("first", 3), "k": ("only", 0)}
