@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC
 from quillstone.functions import embeddings
 from quillstone.functions.text import spec_number
+from quillstone.lineage import cut
 from quillstone.operators import aggregate, enrich, evaluate, hops, search, select, trees
 from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import ENRICHED_PROFILES, GENERIC_ANCHOR_TERMS, PROFILES
@@ -315,10 +318,20 @@ def y1_y2_y3_j13_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _evaluated(spark, folder, "bm25")
 
 
+#: The sweep: profile, sparse and vector weight; each profile by BM25 alone, by vectors alone, and by both.
+SWEEP = [(p, sparse, vector) for p in ENRICHED_PROFILES for sparse, vector in ((1.0, 0.0), (0.0, 1.0), (0.45, 1.0))]
+
+
 @query()
 def y4_g15_profile_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    each = [_evaluated(spark, folder, p).withColumn("profile", F.lit(p)) for p in ("bm25", "table_focus")]
-    return evaluate.mean_metrics(each[0].unionByName(each[1]))
+    rows = _enriched(spark, folder)
+    sweep = spark.createDataFrame([(f"{p}:{s}:{v}", p, s, v) for p, s, v in SWEEP], "sweep string, profile string, sparse double, vector double")
+    sparse = search.profile_scores(rows, _questions(spark, folder), ENRICHED_PROFILES).join(F.broadcast(sweep), "profile").drop("profile")
+    hits = cut(search.hybrid(sparse, *_hybrid_vectors(spark, folder), ["sweep", "query_id"], 10).select("sweep", "query_id", "doc_id", "place"))
+    asked = rows.filter("row_id % 100 = 0 and clause_title <> ''").select(F.col("row_id").alias("query_id"), F.lower("clause_title").alias("t"))
+    relevant = cut(asked.join(rows.select("doc_id", F.lower("clause_title").alias("t")), "t").select("query_id", "doc_id"))
+    each = [evaluate.ranking_metrics(hits.filter(F.col("sweep") == f"{p}:{s}:{v}"), relevant).withColumn("profile", F.lit(f"{p}:{s}:{v}")) for p, s, v in SWEEP]
+    return evaluate.mean_metrics(reduce(DataFrame.unionByName, each))
 
 
 # --- sinks and embeddings ----------------------------------------------------------------------------------------------

@@ -32,3 +32,8 @@ def test_sql(spark, name):
     assert sorted(at) == columns
     theirs = sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in db.fetchall()), key=repr)
     assert sorted((tuple(plain(v) for v in r) for r in df.select(columns).collect()), key=repr) == theirs
+
+
+def test_sweep_has_every_profile_and_weight(spark):
+    got = {r.profile for r in entry.queries()["y4_g15_profile_sweep"](spark, SMALL).collect()}
+    assert got == {f"{p}:{w}" for p in ("bm25", "table_focus", "anchor_boost", "hybrid") for w in ("1.0:0.0", "0.0:1.0", "0.45:1.0")}
