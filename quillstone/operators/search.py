@@ -258,43 +258,48 @@ def nearest(vectors: DataFrame, vector: str, query: Sequence[float], most: int,
     return top(scored, most, key=key)
 
 
-def nearest_to_each(vectors: DataFrame, asked: DataFrame, vector: str, most: int, key: str, rows: int = 1024) -> DataFrame:
+def nearest_to_each(vectors: DataFrame, asked: DataFrame, vector: str, most: int, key: str, rows: int = 2048) -> DataFrame:
     """query_id, key, score and place of the ``most`` nearest rows to each of many vectors (query_id, ``vector``), exactly.
 
-    Both sides are packed into blocks of about ``rows`` vectors. Each pair of blocks is a matrix product, of which the best
-    of each query are kept; these are merged by score. Vectors without direction, or of another length, have no closeness.
+    Both sides are packed into blocks of about ``rows`` vectors, and every block of queries is sent to every block of rows:
+    a pair of blocks is one row, spread by both. It is a matrix product, of which the best of each query are kept; these are
+    merged by score. Vectors without direction, or of another length, have no closeness.
     """
     import numpy as np
     import pyarrow as pa
 
-    def blocks(frame: DataFrame, name: str) -> DataFrame:
+    def blocks(frame: DataFrame, name: str, block: str) -> tuple[DataFrame, int]:
         known = frame.select(F.col(name).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter("v is not null and size(v) > 0 and not exists(v, x -> x is null)")
         parts = max(1, -(-frame.count() // rows))
-        return known.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b"), F.size("v").alias("n")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+        return known.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias(block), F.size("v").alias("n")).agg(F.collect_list(F.struct("id", "v")).alias("r")), parts
 
-    left = blocks(asked, "query_id").select("n", F.col("r.id").alias("qi"), F.flatten("r.v").alias("qv"))
-    right = blocks(vectors, key).select(F.col("n").alias("m"), F.col("r.id").alias("ki"), F.flatten("r.v").alias("kv"))
+    left, of_queries = blocks(asked, "query_id", "i")
+    right, of_rows = blocks(vectors, key, "j")
+    left = left.select("i", "n", F.col("r.id").alias("qi"), F.flatten("r.v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(of_rows - 1).cast("bigint"))).alias("j"))
+    right = right.select("j", "n", F.col("r.id").alias("ki"), F.flatten("r.v").alias("kv"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(of_queries - 1).cast("bigint"))).alias("i"))
 
     def best(batches):
         def units(flat, n):
             x = flat.values.to_numpy(zero_copy_only=False).reshape(-1, n)
             with np.errstate(divide="ignore", invalid="ignore"):
+                x = x / np.abs(x).max(1, keepdims=True)
                 return x / np.sqrt((x * x).sum(1, keepdims=True))
 
         for batch in batches:
             for i in range(batch.num_rows):
                 n = batch.column("n")[i].as_py()
-                qi, ki = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("qi", "ki"))
+                qi, ki = (batch.column(c)[i].values for c in ("qi", "ki"))
                 close = 1 / (1 + np.arccos(np.clip(units(batch.column("qv")[i], n) @ units(batch.column("kv")[i], n).T, -1, 1)))
                 close = np.where(np.isfinite(close), close, -1.0)
                 last = min(most, len(ki))
                 # Scores that round alike are decided by key after the merge, so all that may round to the last one go on.
                 least = np.maximum(np.partition(close, -last, axis=1)[:, -last] - 2e-6, 0)
                 q, k = np.nonzero(close >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[q], pa.int64()), pa.array(ki[k], pa.int64()), pa.array(close[q, k])], ["query_id", key, "score"])
+                yield pa.RecordBatch.from_arrays([qi.take(pa.array(q)), ki.take(pa.array(k)), pa.array(close[q, k])], ["query_id", key, "score"])
 
-    pairs = left.join(right, F.col("n") == F.col("m")).select("n", "qi", "qv", "ki", "kv")
-    found = pairs.mapInArrow(best, f"query_id long, `{key}` long, score double")
+    pairs = left.join(right, ["i", "j", "n"]).select("n", "qi", "qv", "ki", "kv")
+    of = lambda frame, name: frame.schema[name].dataType.simpleString()
+    found = pairs.mapInArrow(best, f"query_id {of(asked, 'query_id')}, `{key}` {of(vectors, key)}, score double")
     return placed(found.withColumn("score", F.round("score", 6)), ["query_id"], most, key)
 
 
