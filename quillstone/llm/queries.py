@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.functions.text import WHITE
 from quillstone.llm.encoding import repaired
 from quillstone.llm.mixing import mix_report, mix_sources
-from quillstone.llm.neighbours import most_similar, similar_pairs
+from quillstone.llm.neighbours import exact_similar, most_similar, similar_pairs
 from quillstone.llm.split import split_oversized
 from quillstone.llm.terms import marked_terms
 from quillstone.llm.tokens import token_ids
@@ -30,6 +31,11 @@ def p4_similar(spark: SparkSession, folder: str) -> DataFrame:
     return most_similar(table(spark, folder, "records"))
 
 
+def p4_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of row_id % 100 = 0 asked against all, without index: what recall is measured by."""
+    return exact_similar(table(spark, folder, "records"), F.col("row_id") % 100 == 0).select("query_id", "place", "doc_id", "score")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     # Every oversized item has a first piece.
     return split_oversized(table(spark, folder, "clauses")).filter("piece_no = 0").select("doc_id", "item_no")
@@ -64,16 +70,22 @@ def p8_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_similar, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_similar, p4_exact, p5_found, p5_pieces, p6_ids, p7_found, p7_mix, p7_report, p8_found, p8_repaired)}
 
 _WHITE = "||".join(f"chr({ord(c)})" for c in WHITE)
-ORACLES = {
-    "p4_found": """
-        with cur as (select * from records where doc_id is not null
+_VECTORS = """cur as (select * from records where doc_id is not null
                      qualify row_number() over (partition by doc_id order by indexed_at desc nulls last, row_id desc) = 1),
-        v as (select doc_id, list_transform(dense_vector, lambda x: x::double) as v from cur
+        v as (select doc_id, row_id, list_transform(dense_vector, lambda x: x::double) as v from cur
               where len(dense_vector) = 64 and len(list_filter(dense_vector, lambda x: x is null or not isfinite(x))) = 0
-                and len(list_filter(dense_vector, lambda x: x <> 0)) > 0),
+                and len(list_filter(dense_vector, lambda x: x <> 0)) > 0)"""
+ORACLES = {
+    "p4_exact": f"""
+        with {_VECTORS},
+        s as (select q.doc_id as query_id, v.doc_id, round(1 / (1 + acos(greatest(least(list_cosine_similarity(v.v, q.v), 1), -1))), 6) as score
+              from v join v q on q.row_id % 100 = 0 and v.doc_id <> q.doc_id)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as place, doc_id, score from s qualify place <= 5""",
+    "p4_found": f"""
+        with {_VECTORS},
         s as (select a.doc_id as a, b.doc_id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.doc_id <> b.doc_id),
         t as (select * from s where c >= 0.9 qualify row_number() over (partition by a order by c desc, b) <= 5)
         select distinct least(a, b) as doc_id_a, greatest(a, b) as doc_id_b from t""",
