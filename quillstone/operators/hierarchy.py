@@ -7,17 +7,25 @@ core. Backward rounds undo the contraction in reverse order and hand each node i
 
 A forward round is one aggregation of the messages between the nodes still alive, a backward round one join with the
 nodes that outlived it. The number of alive nodes falls geometrically, so the whole costs a constant number of passes
-over the nodes. No tree is ever gathered in one task, and a parent of very many children is aggregated map-side.
+over the nodes. No tree is ever gathered in one task, and a parent of very many children is aggregated map-side. Once
+at most ``FINISH`` nodes are alive, whatever trees they are of, a round costs more than they do, and one task follows
+their links to the end; the result is the same for any ``FINISH``, also 0. What a round wrote is deleted as soon as the
+rounds that read it are written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillstone.lineage import cut
+from quillstone.lineage import cut, discard
+
+#: Alive nodes from which on one task finishes the contraction.
+FINISH = 10_000
 
 _VIA = "array<struct<node:bigint,name:string>>"
 _NODE = f"struct<parent:bigint,via:{_VIA},name:string,state:string,fate:string>"
@@ -53,19 +61,20 @@ def _messages(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.inline(F.filter(sent, lambda m: m["node"].isNotNull())))
 
 
-def _contract(forest: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Rake and compress (node, parent, name, state) until nothing or only rings are left.
+_SHAPE = ["node", "parent", "via", "name", "state"]
+
+
+def _contract(forest: DataFrame) -> tuple[list[DataFrame], int]:
+    """Rake and compress (node, parent, name, state) until nothing, only rings or at most ``FINISH`` nodes are left.
 
-    Returns the nodes removed in each round (node, parent, via, name, state), each hanging on a node that outlived the
-    round, with the spliced nodes between the two as ``via``; and the core.
+    Returns what each round wrote: the nodes alive before it with their ``fate`` - kept, raked (a leaf), spliced (out of
+    a chain, to stand in the ``via`` of the edge below it) or gone (raked the round before, now with its last parent) - and
+    how many outlived the last.
     """
-    shape = ["node", "parent", "via", "name", "state"]
     nodes = forest.withColumns({"via": F.array().cast(_VIA), "fate": F.lit("kept"), "kid": F.lit(None).cast(_KID)})
-    spliced: list[DataFrame] = []
-    gone: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     quiet = 0
     while quiet < 2:
-        turn = len(gone)
         heard = _messages(nodes).groupBy("node").agg(
             F.max("own").alias("own"), F.count("kid").alias("kids"), F.min("kid").alias("kid"), F.bool_and("sure").alias("sure"), F.max("move").alias("move")
         )
@@ -74,28 +83,74 @@ def _contract(forest: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             "node", F.coalesce("move.parent", "own.parent").alias("parent"), F.coalesce("move.via", "own.via").alias("via"),
             "own.name", "own.state", "own.fate", "kids", "kid", "sure",
         )
+        turn = len(rounds)
         splice = (F.col("kids") == 1) & F.col("sure") & (F.col("parent") != F.col("node")) & _coin(F.col("node"), turn) & ~_coin(F.col("parent"), turn)
         fate = F.when(F.col("fate") == "raked", "gone").when(F.col("kids") == 0, "raked").when(splice, "spliced").otherwise("kept")
         seen = Observation()
-        leaves = F.count_if(F.col("fate") == "raked").alias("leaves")
-        nodes = cut(heard.select(*shape, fate.alias("fate"), F.when(fate == "spliced", F.col("kid")).alias("kid")).observe(seen, leaves))
-        spliced.append(nodes.filter("fate = 'spliced'").select(shape))
-        gone.append(nodes.filter("fate = 'gone'").select(shape))
-        nodes = nodes.filter("fate <> 'gone'")
+        counts = [F.count_if(F.col("fate") == "raked").alias("leaves"), F.count_if(F.col("fate") != "gone").alias("alive")]
+        rounds.append(cut(heard.select(*_SHAPE, fate.alias("fate"), F.when(fate == "spliced", F.col("kid")).alias("kid")).observe(seen, *counts)))
+        nodes = rounds[-1].filter("fate <> 'gone'")
+        alive = seen.get["alive"]
+        if alive <= FINISH:
+            break
         quiet = 0 if seen.get["leaves"] else quiet + 1
-    # A leaf finds its last parent in the round after it was raked.
-    return [s.unionByName(g) for s, g in zip(spliced, gone[1:], strict=False)], nodes.select(shape)
-
-
-def _expand(turns: list[DataFrame], core: DataFrame) -> DataFrame:
-    """Root, path and state of every node, from the core back to the first round.
+    return rounds, alive
+
+
+_DONE = "node bigint, root string, path array<string>, state string, ring array<bigint>"
+
+
+def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Root, path and state of the nodes of a whole forest, following its links; ``ring`` has the nodes that a ring node stands for."""
+    rows = {r.node: r for batch in batches for r in batch.itertuples(index=False)}
+    up = {n: int(r.parent) if not pd.isna(r.parent) else None for n, r in rows.items()}
+    ends: dict[int, int | None] = {}  # the top of each node's chain; null on and below a ring
+    rings: set[int] = set()
+    for start in rows:
+        walk, place, at = [], {}, start
+        while at is not None and at not in ends and at not in place:
+            place[at] = len(walk)
+            walk.append(at)
+            at = up[at]
+        if at in place:
+            rings.update(walk[place[at] :])
+        end = walk[-1] if at is None else ends.get(at)
+        ends.update(dict.fromkeys(walk, end))
+    out, names = [], 0
+    for n, r in rows.items():
+        if (top := ends[n]) is None:
+            out.append((n, None, None, "below_cycle", [n, *(v["node"] for v in r.via)] if n in rings else None))
+        else:
+            chain = [n]
+            while up[chain[-1]] is not None:
+                chain.append(up[chain[-1]])
+            path = [name for c in reversed(chain) for name in (*(v["name"] for v in rows[c].via), rows[c].name)]
+            out.append((n, path[0], path, rows[top].state, None))
+            names += len(path)
+        if names > 100_000 or len(out) == 10_000:
+            yield pd.DataFrame(out, columns=["node", "root", "path", "state", "ring"])
+            out, names = [], 0
+    yield pd.DataFrame(out, columns=["node", "root", "path", "state", "ring"])
+
+
+def _expand(rounds: list[DataFrame], alive: int) -> DataFrame:
+    """Root, path and state of every node, from the nodes that outlived all rounds back to the first round.
 
     The nodes known after a step are those that outlived the round, so their number falls geometrically towards the
     core, and so does the work of a step.
     """
-    none = F.lit(None)
-    done = core.select("node", none.cast("string").alias("root"), none.cast("array<string>").alias("path"), F.lit("below_cycle").alias("state"))
-    for removed in reversed(turns):
+    core = rounds[-1].filter("fate <> 'gone'").select(_SHAPE)
+    if alive <= FINISH:
+        done = cut(core.coalesce(1).mapInPandas(_finished, _DONE))
+    else:
+        # A core that does not contract consists of rings: its nodes and those that were spliced out between them.
+        none = F.lit(None)
+        ring = F.concat(F.array("node"), F.col("via.node"))
+        done = core.select("node", none.cast("string").alias("root"), none.cast("array<string>").alias("path"), F.lit("below_cycle").alias("state"), ring.alias("ring"))
+    written = [done] if alive <= FINISH else []
+    for turn in range(len(rounds) - 2, -1, -1):
+        # Removed in a round are its spliced nodes, and the leaves that found their last parent in the round after.
+        removed = rounds[turn].filter("fate = 'spliced'").select(_SHAPE).unionByName(rounds[turn + 1].filter("fate = 'gone'").select(_SHAPE))
         up = done.select(F.col("node").alias("parent"), F.col("root").alias("up_root"), F.col("path").alias("up_path"), F.col("state").alias("up_state"))
         top = F.col("parent").isNull()
         new = removed.join(up, "parent", "left").select(
@@ -103,11 +158,15 @@ def _expand(turns: list[DataFrame], core: DataFrame) -> DataFrame:
             F.when(top, F.col("name")).otherwise(F.col("up_root")).alias("root"),
             F.when(top, F.array("name")).otherwise(F.concat("up_path", F.col("via.name"), F.array("name"))).alias("path"),
             F.when(top, F.col("state")).otherwise(F.col("up_state")).alias("state"),
+            F.lit(None).cast("array<bigint>").alias("ring"),
         )
         done = cut(done.unionByName(new))
-    # The rings are the core's nodes and those that were spliced out between them.
-    ring = core.select(F.explode(F.concat(F.array("node"), F.col("via.node"))).alias("node")).withColumn("on_ring", F.lit(True))
-    return done.join(ring, "node", "left").withColumn("state", F.when(F.col("on_ring"), "cycle").otherwise(F.col("state"))).drop("on_ring")
+        discard(rounds[turn + 1], *written)
+        written = [done]
+    if written:
+        discard(rounds[0])
+    on_ring = done.filter("ring is not null").select(F.explode("ring").alias("node"), F.lit(True).alias("on_ring")).distinct()
+    return done.drop("ring").join(on_ring, "node", "left").withColumn("state", F.when(F.col("on_ring"), "cycle").otherwise(F.col("state"))).drop("on_ring")
 
 
 def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: str = "parent") -> DataFrame:
@@ -127,8 +186,7 @@ def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: s
     forest = nodes.join(has, same, "left").select(
         F.col("_node").alias("node"), F.col("_parent").alias("parent"), F.col(name).alias("name"), state.alias("state")
     )
-    turns, core = _contract(forest)
-    known = _expand(turns, core)
+    known = _expand(*_contract(forest))
     # A chain that hangs on a ring has no root.
     lost = F.col("state").isin("cycle", "below_cycle")
     known = known.select(

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillstone.operators import hierarchy as contraction
 from quillstone.operators import trees
 from quillstone.operators.hierarchy import descendants, hierarchy, with_descendant_counts
 
@@ -39,12 +40,32 @@ def brute(edges):
     return out
 
 
+@pytest.fixture(params=[0, 40, 10_000])
+def finish(request, monkeypatch):
+    """The rounds alone, some rounds and then one task, and one round and one task: the same result."""
+    monkeypatch.setattr(contraction, "FINISH", request.param)
+
+
 def check(spark, edges):
     got = {r.clause: (r.state, r.path) for r in tree(spark, edges).collect()}
     assert got == brute(edges)
 
 
-def test_long_chain_and_rings(spark):
+def test_rounds_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(contraction, "FINISH", 0)
+    from pathlib import Path
+
+    from quillstone.lineage import use_checkpoint_dir
+
+    use_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p for p in folder.rglob("rdd-*")}
+    assert tree(spark, [("n0", None), *[(f"n{i}", f"n{i // 2}") for i in range(1, 60)]]).count() == 60
+    # The numbered rows, and the nodes with their paths, which the result is read from.
+    assert len({p for p in folder.rglob("rdd-*")} - before) <= 2
+
+
+def test_long_chain_and_rings(spark, finish):
     chain = [("n0", None), *[(f"n{i}", f"n{i - 1}") for i in range(1, 70)]]
     rings = [("a", "c"), ("b", "a"), ("c", "b"), ("self", "self"), ("x", "b"), ("y", "x"), ("z", "self"), ("p", "q"), ("q", "p")]
     lost = [("l1", "absent"), ("l2", "l1"), ("l3", "l2")]
@@ -52,7 +73,7 @@ def test_long_chain_and_rings(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_graphs(spark, seed):
+def test_random_graphs(spark, seed, finish):
     rng = random.Random(seed)
     names = [f"c{i}" for i in range(150)]
     check(spark, [(n, rng.choice([None, "absent", *names, *names[: i or 1], *names[: i or 1]])) for i, n in enumerate(names)])
