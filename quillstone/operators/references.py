@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import clause_number, filled, spec_number
-from quillstone.lineage import cut
+from quillstone.lineage import cut, discard
 from quillstone.sources.tables import DOCUMENT, counted_clauses, current_records
 
 KEY = [*DOCUMENT, "clause"]
@@ -79,39 +79,55 @@ def judged(refs: DataFrame, specs: DataFrame, clauses: DataFrame) -> DataFrame:
     return to_specs.select(*out).unionByName(to_clauses.select(*out))
 
 
-def orphan_references(records: DataFrame, specs: DataFrame, clauses: DataFrame) -> DataFrame:
-    """All orphan references, direct and inherited.
+def direct_orphans(refs: DataFrame) -> DataFrame:
+    """The references of ``judged`` whose own target is missing, deleted or late: where the cascade starts, at level 0."""
+    return refs.filter(F.col("reason").isNotNull()).withColumn("level", F.lit(0))
+
+
+#: Rounds of the cascade after which what they reached is written as one.
+MERGED = 8
 
-    Returns doc_id, release_data, ref_table, ref_value, reason (missing, deleted, late; ``inherited`` for references to
-    a clause that exists but whose records are orphaned) and level: 0 for direct ones, else the number of references
-    between the record and the nearest directly orphaned record.
-    """
-    refs = cut(judged(references(records), specs, clauses))
-    direct = refs.filter(F.col("reason").isNotNull())
 
-    # The graph of clauses: an edge goes from the clause a record belongs to, to a clause that the record refers to.
+def inherited_orphans(refs: DataFrame) -> DataFrame:
+    """The sound references of ``judged`` to clauses whose records are orphaned, by a fixpoint of semi-joins down the graph.
+
+    The graph's edges are partitioned by the clause they point to, once; a round reads only those of the clauses that
+    the round before reached. Targets are keys of many, so a document with a third of all rows is spread.
+    """
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sound = refs.filter(F.col("reason").isNull() & (F.col("ref_table") == "clauses"))
-    edges = cut(sound.filter(F.col("clause").isNotNull()).select(*KEY, "ref_value").distinct())
-    reached = cut(direct.filter(F.col("spec").isNotNull() & F.col("clause").isNotNull()).select(*KEY).distinct().withColumn("level", F.lit(0)))
-    frontier, level = reached, 0
+    edges = cut(sound.filter(F.col("clause").isNotNull()).select(*KEY, "ref_value").distinct().repartition(tasks, *DOCUMENT, "ref_value"))
+    start = refs.filter(F.col("reason").isNotNull() & F.col("spec").isNotNull() & F.col("clause").isNotNull())
+    frontier = cut(start.select(*KEY).distinct().withColumn("level", F.lit(0)))
+    reached, written, level = frontier, [frontier], 0
     while True:
         level += 1
         parents = frontier.select(*DOCUMENT, F.col("clause").alias("ref_value"))
-        new = cut(
-            edges.join(parents, [*DOCUMENT, "ref_value"], "left_semi")
-            .select(*KEY)
-            .distinct()
-            .join(reached, KEY, "left_anti")
-            .withColumn("level", F.lit(level))
-        )
-        if new.isEmpty():
+        hit = edges.join(parents, [*DOCUMENT, "ref_value"], "left_semi").select(*KEY).distinct()
+        frontier = cut(hit.join(reached, KEY, "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            discard(frontier)
             break
-        reached, frontier = reached.unionByName(new), new
+        reached = reached.unionByName(frontier)
+        written.append(frontier)
+        if level % MERGED == 0:
+            reached = cut(reached)
+            discard(*written[:-1])
+            written = [frontier, reached]
+    by_target = reached.select(*DOCUMENT, F.col("clause").alias("ref_value"), (F.col("level") + 1).alias("level"))
+    return sound.join(by_target, [*DOCUMENT, "ref_value"]).withColumn("reason", F.lit("inherited"))
+
+
+def orphan_references(records: DataFrame, specs: DataFrame, clauses: DataFrame) -> DataFrame:
+    """All orphan references, direct and inherited.
 
+    Returns doc_id, release_data, ref_table, ref_value, reason (missing, deleted, late; ``inherited`` for references to
+    a clause that exists but whose records are orphaned) and level: 0 for direct ones, else the number of references
+    between the record and the nearest directly orphaned record.
+    """
+    refs = cut(judged(references(records), specs, clauses))
     out = ["doc_id", "release_data", "ref_table", "ref_value", "reason", "level"]
-    by_target = reached.select(*DOCUMENT, F.col("clause").alias("ref_value"), (F.col("level") + 1).alias("level"))
-    inherited = sound.join(by_target, [*DOCUMENT, "ref_value"]).withColumn("reason", F.lit("inherited"))
-    return direct.withColumn("level", F.lit(0)).select(*out).unionByName(inherited.select(*out))
+    return direct_orphans(refs).select(*out).unionByName(inherited_orphans(refs).select(*out))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

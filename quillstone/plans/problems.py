@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import WHITE, filled
 from quillstone.operators.hierarchy import descendants, hierarchy, with_descendant_counts
-from quillstone.operators.references import orphan_references, orphan_report
+from quillstone.operators.references import direct_orphans, judged, orphan_references, orphan_report, references
 from quillstone.sources.tables import DOCUMENT, current_clauses, table
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_references(*[table(spark, folder, t) for t in ("records", "specs", "clauses")])
+def _tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("records", "specs", "clauses")]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).filter("level = 0").select("doc_id", "ref_table", "ref_value", "reason")
+    """Level 0 of the cascade, as the rows asked for are the direct orphans; ``p1_orphans`` and ``p1_report`` have all levels."""
+    records, specs, clauses = _tables(spark, folder)
+    return direct_orphans(judged(references(records), specs, clauses)).select("doc_id", "ref_table", "ref_value", "reason")
+
+
+def p1_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    return orphan_references(*_tables(spark, folder)).select("doc_id", "ref_table", "ref_value", "reason", "level")
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_report(_orphans(spark, folder))
+    return orphan_report(orphan_references(*_tables(spark, folder)))
 
 
 def _tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +48,7 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return descendants(_tree(spark, folder), DOCUMENT)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans, p1_report, p3_found, p3_hierarchy, p3_descendants)}
 
 _WHITE = "||".join(f"chr({ord(c)})" for c in WHITE)
 _CLAUSES = f"""
@@ -98,6 +104,19 @@ from (select *, unnest(range(1, len(path))) as i from tree where state in ('ok',
 
 ORACLES = {
     "p1_found": f"with {_REFS} select doc_id, ref_table, ref_value, reason from refs where reason is not null",
+    "p1_orphans": f"""with recursive {_REFS},
+        e as materialized (select distinct release_data, release, spec, clause, ref_value from refs where reason is null and ref_table = 'clauses' and clause is not null),
+        reach as (
+          select distinct release_data, release, spec, clause, 0 as level from refs where reason is not null and spec is not null and clause is not null
+          union
+          select e.release_data, e.release, e.spec, e.clause, r.level + 1 from e
+          join reach r on (e.release_data, e.release, e.spec, e.ref_value) = (r.release_data, r.release, r.spec, r.clause) where r.level < 60),
+        least as materialized (select release_data, release, spec, clause, min(level) as level from reach group by all)
+        select doc_id, ref_table, ref_value, reason, 0 as level from refs where reason is not null
+        union all
+        select r.doc_id, r.ref_table, r.ref_value, 'inherited', l.level + 1 from refs r
+        join least l on (r.release_data, r.release, r.spec, r.ref_value) = (l.release_data, l.release, l.spec, l.clause)
+        where r.reason is null and r.ref_table = 'clauses'""",
     "p1_report": f"""with recursive {_REFS},
         hit as (select distinct release_data, release, spec, clause from refs where reason is not null and spec is not null and clause is not null),
         reach as (
