@@ -78,7 +78,15 @@ _VECTORS = """cur as (select * from records where doc_id is not null
         v as (select doc_id, row_id, list_transform(dense_vector, lambda x: x::double) as v from cur
               where len(dense_vector) = 64 and len(list_filter(dense_vector, lambda x: x is null or not isfinite(x))) = 0
                 and len(list_filter(dense_vector, lambda x: x <> 0)) > 0)"""
+#: Of what NFKC makes one, term_hits has full-width forms and no-break spaces.
+_TERMS = f"""n as (
+          select doc_id, nullif(trim(spec_no, {_WHITE}), '') as spec, lower(trim(regexp_replace(array_to_string(list_transform(string_split(term, ''),
+                 lambda c: case when unicode(c) between 65281 and 65374 then chr(unicode(c) - 65248) when unicode(c) in (8203, 8204, 8205, 65279) then '' else c end), ''), '[\\s\\x0B\\x{{85}}\\pZ]+', ' ', 'g'))) as term from term_hits),
+        t as (select term, count(*) as occurrences, count(distinct doc_id) as doc_count, count(distinct spec) as spec_count from n where length(term) >= 3 group by term),
+        m as (select *, case when doc_count <= 2 then 'rare' when spec_count <= 1 then 'local' when doc_count >= 0.05 * (select count(distinct doc_id) from term_hits) then 'common' end as mark from t)"""
 ORACLES = {
+    "p2_found": f"with {_TERMS} select term, mark from m where mark is not null",
+    "p2_terms": f"with {_TERMS} select * from m",
     "p4_exact": f"""
         with {_VECTORS},
         s as (select q.doc_id as query_id, v.doc_id, round(1 / (1 + acos(greatest(least(list_cosine_similarity(v.v, q.v), 1), -1))), 6) as score

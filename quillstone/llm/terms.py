@@ -2,9 +2,10 @@
 
 Each task counts its terms in a burst trie: inner nodes branch by character, leaf containers hold the remaining suffixes
 with their counters, and a container that grows too large bursts into a node. Tries travel as compact containers (prefix,
-suffixes, counters). How far the prefixes branch globally is found from the containers' sizes: a prefix under which too
-many entries lie is split further, so workers get even loads however unevenly the terms are spread. Workers then merge
-the containers of the same subtree by adding counters.
+suffixes, counters). How far the prefixes branch globally is found from the containers' sizes: a prefix under which more
+than ``ENTRIES`` entries lie is split further, so no worker gets more for a subtree, however many terms there are and
+however unevenly they are spread. Workers merge the containers of a subtree into one trie, container by container:
+where both tries have a container they are merged by adding counters, where one branches further the other follows.
 
 A key of the trie is the term and, below it, the specification. Counters of a key are its occurrences and the records
 counted under it; each record of a term counts under one of its specifications only. So both counters add up, and the
@@ -33,8 +34,9 @@ SHORTEST = 3
 RARE_DOCS, LOCAL_SPECS, COMMON_SHARE = 2, 1, 0.05
 #: Entries of a container before it bursts, and of a task's trie before it is handed on.
 CONTAINER, TRIE = 512, 250_000
-#: Parts of all entries that a routed subtree should hold at most; bounds the broadcast set of prefixes.
-SUBTREES = 256
+#: Entries of all tasks that are routed to one subtree at most; the prefixes that are split, a set that is broadcast, are
+#: fewer than all entries over this, times their length.
+ENTRIES = 100_000
 #: Characters of no width that are removed.
 ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF])
 SEP = "\x00"
@@ -58,22 +60,37 @@ class BurstTrie:
         self.container, self.root, self.entries = container, [{}], 0
 
     def add(self, key: str, counts: tuple[int, int]) -> None:
-        holder, slot, at = None, "", self.root
-        depth = 0
-        while isinstance(at, dict):
-            slot = key[depth : depth + 1]
-            holder = at
+        self.merge("", [key], [counts[0]], [counts[1]])
+
+    def merge(self, prefix: str, suffixes: list[str], occurrences: list[int], docs: list[int]) -> None:
+        """Add the entries of another trie's container."""
+        holder, slot, at, depth = None, "", self.root, 0
+        while isinstance(at, dict) and depth < len(prefix):
+            holder, slot = at, prefix[depth]
             at = at.setdefault(slot, [{}])
             depth += 1
-        held = at[0]
-        suffix = key[depth:]
-        old = held.get(suffix)
-        if old:
-            held[suffix] = (old[0] + counts[0], old[1] + counts[1])
-            return
-        held[suffix] = counts
-        self.entries += 1
-        if len(held) > self.container and suffix + slot:
+        rest = prefix[depth:]
+        if isinstance(at, dict):
+            # This trie branches further here: the container is parted by the next character.
+            for c, group in groupby(zip(suffixes, occurrences, docs, strict=True), key=lambda x: x[0][:1]):
+                own = list(group)
+                child = at.setdefault(c, [{}])
+                if isinstance(child, dict):
+                    self.merge(prefix + c, *map(list, zip(*((s[1:], n, d) for s, n, d in own), strict=True)))
+                else:
+                    self._fill(child, at, c, [(s[1:], n, d) for s, n, d in own])
+        else:
+            self._fill(at, holder, slot, [(rest + s, n, d) for s, n, d in zip(suffixes, occurrences, docs, strict=True)])
+
+    def _fill(self, container: list, holder: dict | None, slot: str, entries: list[tuple[str, int, int]]) -> None:
+        """Add entries to a container, which stands at ``slot`` of ``holder``, and burst it if it grows too large."""
+        held = container[0]
+        before = len(held)
+        for suffix, n, d in entries:
+            old = held.get(suffix)
+            held[suffix] = (old[0] + n, old[1] + d) if old else (n, d)
+        self.entries += len(held) - before
+        if len(held) > self.container:
             node: dict = {}
             for s, c in held.items():
                 node.setdefault(s[:1], [{}])[0][s[1:]] = c
@@ -83,11 +100,12 @@ class BurstTrie:
                 holder[slot] = node
 
     def containers(self) -> Iterator[tuple[str, list[str], list[int], list[int]]]:
+        """Containers in order, with their entries in order: all keys are sorted."""
         stack = [("", self.root)]
         while stack:
             prefix, at = stack.pop()
             if isinstance(at, dict):
-                stack += [(prefix + c, x) for c, x in at.items()]
+                stack += sorted(((prefix + c, x) for c, x in at.items()), key=lambda x: x[0], reverse=True)
             elif at[0]:
                 suffixes = sorted(at[0])
                 yield prefix, suffixes, [at[0][s][0] for s in suffixes], [at[0][s][1] for s in suffixes]
@@ -130,19 +148,19 @@ def _route(key: str, split: frozenset[str]) -> str:
 
 
 def _merge(blocks):  # noqa: ANN001, ANN202
-    """The containers of one subtree to its terms."""
+    """The containers of one subtree, merged as a trie, to its terms."""
     import pyarrow as pa
 
-    whole: dict[str, list[int]] = {}
-    for prefix, suffixes, occurrences, docs in zip(*(blocks.column(n).to_pylist() for n in _NAMES), strict=True):
-        for s, n, d in zip(suffixes, occurrences, docs, strict=True):
-            counts = whole.setdefault(prefix + s, [0, 0])
-            counts[0] += n
-            counts[1] += d
+    trie = BurstTrie()
+    for block in blocks.to_batches():
+        for container in zip(*(block.column(n).to_pylist() for n in _NAMES), strict=True):
+            trie.merge(*container)
+    keys = ((prefix + s, n, d) for prefix, suffixes, ns, ds in trie.containers() for s, n, d in zip(suffixes, ns, ds, strict=True))
     out = []
-    for term, keys in groupby(sorted(whole), key=lambda k: k.partition(SEP)[0]):
-        below = list(keys)
-        out.append((term, sum(whole[k][0] for k in below), sum(whole[k][1] for k in below), sum(not k.endswith(SEP) for k in below)))
+    # The separator comes before any other character, so the keys of a term stand together.
+    for term, own in groupby(keys, key=lambda k: k[0].partition(SEP)[0]):
+        below = list(own)
+        out.append((term, sum(n for _, n, _ in below), sum(d for _, _, d in below), sum(not k.endswith(SEP) for k, _, _ in below)))
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["term", "occurrences", "docs", "specs"])
 
@@ -163,11 +181,8 @@ def term_counts(hits: DataFrame, term: Column | str = "term", doc: str = "doc_id
     blocks = cut(keys.mapInArrow(_count, _BLOCKS))
 
     sizes = blocks.select("prefix", F.size("suffixes").cast("bigint").alias("entries"))
-    total = sizes.agg(F.sum("entries")).first()[0] or 0
-    most = max(4 * CONTAINER, total // SUBTREES)
     under = sizes.select("entries", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring("prefix", F.lit(1), n))).alias("at"))
-    # At most SUBTREES prefixes of each length can pass this filter.
-    crowded = under.groupBy("at").agg(F.sum("entries").alias("entries")).filter(F.col("entries") > most).select("at").collect()
+    crowded = under.groupBy("at").agg(F.sum("entries").alias("entries")).filter(F.col("entries") > ENTRIES).select("at").collect()
     split = hits.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in crowded))
 
     def routed(batches: Iterator) -> Iterator:
