@@ -1,9 +1,10 @@
 """Splitting oversized items at natural boundaries, with overlap.
 
-Balanced targets: the smallest possible number of pieces is taken, their ends are placed at equal distances, and each end
-is moved to the strongest boundary near it. Where a piece then exceeds the limit, one piece is added and all ends are
-placed anew. Every piece keeps to the limit, consecutive pieces share exactly ``overlap`` characters, and the pieces
-without their overlaps give the item back.
+Balanced targets: from where a piece starts, the smallest possible number of pieces for the rest is taken, their ends are
+placed at equal distances, and the first of them is moved to the strongest boundary near it that still leaves the rest
+within that number. Where no natural boundary does, but one lies nearer, a piece is added. Every piece keeps to the
+limit, consecutive pieces share exactly ``overlap`` characters, and the pieces without their overlaps give the item back.
+Boundaries are looked for around each target only, so the time is linear in the item.
 
 Null and empty items have no pieces to split and do not come out; an item within the limit is not oversized.
 """
@@ -11,7 +12,6 @@ Null and empty items have no pieces to split and do not come out; an item within
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -26,38 +26,44 @@ BOUNDARIES = [re.compile(p) for p in (r"\n[^\S\n]*\n\s*", r"\n", r"[.!?;:][)\"'
 NATURAL = 3
 
 
-def _nearest(at: list[int], target: float, low: float, high: float) -> int | None:
-    """The position of ``at`` nearest to ``target``, strictly between ``low`` and ``high``."""
-    first, end = bisect_right(at, low), bisect_left(at, high)
-    if first >= end:
+#: Characters of pieces that are handed on together.
+HANDED = 4_000_000
+
+
+def _nearest(boundary: re.Pattern, text: str, target: float, low: float, high: float) -> int | None:
+    """The end of a match nearest to ``target``, from ``low`` to ``high``."""
+    low, high = max(1, int(low + 0.999)), min(len(text), int(high))
+    if low > high:
         return None
-    near = bisect_left(at, target, first, end)
-    return min((at[i] for i in (near - 1, near) if first <= i < end), key=lambda p: abs(p - target))
+    # A match may begin before the window and, if it is to end in it, reach its end only when seen whole.
+    ends = (m.end() for m in boundary.finditer(text, max(0, low - 64), min(len(text), high + 64)))
+    return min((e for e in ends if low <= e <= high), key=lambda e: abs(e - target), default=None)
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Spans of the pieces of ``text``."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half of the limit")
-    size = len(text)
-    if size <= limit:
-        return [(0, size)] if size else []
-    strengths = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
-    pieces = 1 + -(-(size - limit) // (limit - overlap))
-    while True:
-        stride = (size - overlap) / pieces
-        ends: list[int] = []
-        for k in range(1, pieces):
-            target = overlap + k * stride
-            near, far = (target - stride / 4, target + stride / 4), (target - stride / 2, target + stride / 2)
-            tries = [(b, near) for b in strengths[:NATURAL]] + [(b, far) for b in strengths[:NATURAL]] + [(b, near) for b in strengths[NATURAL:]]
-            found = (_nearest(b, target, *window) for b, window in tries)
-            ends.append(next((p for p in found if p is not None), int(target)))
-        ends.append(size)
-        starts = [0, *(e - overlap for e in ends[:-1])]
-        if all(e - s <= limit for s, e in zip(starts, ends, strict=True)):
-            return list(zip(starts, ends, strict=True))
-        pieces += 1
+    size, start, step = len(text), 0, limit - overlap
+    spans: list[tuple[int, int]] = []
+    while size - start > limit:
+        left = -(-(size - start - limit) // step)  # pieces after this one, at least
+        length = (size - start + left * overlap) / (left + 1)
+        target = start + length
+        # An end before ``least`` needs a piece more.
+        least = size + overlap - (limit + (left - 1) * step)
+        first, last = start + overlap + 1, start + limit
+        near, far = (target - length / 4, target + length / 4), (target - length / 2, target + length / 2)
+        tries = [
+            *((b, (max(w[0], least, first), min(w[1], last))) for w in (near, far) for b in BOUNDARIES[:NATURAL]),
+            *((b, (max(far[0], first), least)) for b in BOUNDARIES[:NATURAL]),
+            *((b, (max(w[0], least, first), min(w[1], last))) for w in (near, far) for b in BOUNDARIES[NATURAL:]),
+        ]
+        found = (_nearest(b, text, target, *window) for b, window in tries)
+        end = next((p for p in found if p is not None), int(target))
+        spans.append((start, end))
+        start = end - overlap
+    return [*spans, (start, size)] if size else []
 
 
 def _table_size(rows: Column) -> Column:
@@ -101,15 +107,26 @@ def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                item = batch.column("item")[row].as_py()
-                spans = cuts(item or "", limit, overlap)
-                if spans:
-                    same = batch.slice(row, 1).select(kept).take(pa.array([0] * len(spans)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*same.columns, pa.array(range(len(spans)), pa.int32()), pa.array([s for s, _ in spans], pa.int32()), pa.array([item[s:e] for s, e in spans])],
-                        [*kept, "piece_no", "start", "piece"],
-                    )
+            rows, numbers, starts, texts, held = [], [], [], [], 0
+
+            def handed() -> pa.RecordBatch:
+                same = batch.select(kept).take(pa.array(rows, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays(
+                    [*same.columns, pa.array(numbers, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], [*kept, "piece_no", "start", "piece"]  # noqa: B023
+                )
+
+            for row, item in enumerate(batch.column("item")):
+                text = item.as_py() or ""
+                for number, (start, end) in enumerate(cuts(text, limit, overlap)):
+                    rows.append(row)
+                    numbers.append(number)
+                    starts.append(start)
+                    texts.append(text[start:end])
+                    held += end - start
+                    if held > HANDED:
+                        yield handed()
+                        rows, numbers, starts, texts, held = [], [], [], [], 0
+            yield handed()
 
     return items.select(*kept, "item").mapInArrow(split, schema)
 

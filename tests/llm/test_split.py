@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -33,6 +34,21 @@ def test_boundaries():
         cuts("x" * 50, 10, 5)
 
 
+def test_few_pieces_in_linear_time():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    text = " ".join(rng.choice(words) + rng.choice([",", "", "", "", "", ".", ".\n", ""]) for _ in range(340_000))
+    took = {}
+    for size in (500_000, 2_000_000):
+        began = time.perf_counter()
+        spans = cuts(text[:size])
+        took[size] = time.perf_counter() - began
+        # Where the least number leaves no room for a boundary, a piece is added.
+        assert len(spans) <= 1.02 * (1 + -(-(size - 4000) // 3800))
+        assert all(text[e - 1] in " \n" for _, e in spans[:-1])
+    assert took[2_000_000] < 12 * took[500_000] + 0.2
+
+
 def clause(i, name, text, blocks=None, spec="23501"):
     return (i, f"d{name}", spec, "Rel-1", "2020-01", name, None, text, blocks, None, 3, "clash")
 
