@@ -3,7 +3,8 @@
 A multinomial classifier on hashed byte bigrams tells clean from garbled stretches of non-ASCII text, and which chain of
 encodings garbled them. Its garbled examples are made from the corpus itself: lines of a bounded, seeded sample are
 encoded in one encoding and decoded in another. As the sample holds a few garbled lines of its own, it is cleaned by the
-first fit and the classifier fitted once more. Every text is then classified whole, stretch by stretch and line by line:
+first fit and the classifier fitted once more; garbling and counting run in tasks, one for each chain and part of the
+sample, and the driver gets their counters. Every text is then classified whole, stretch by stretch and line by line:
 a predicted chain is inverted, and accepted if the inverse is strictly decodable to assigned characters. Of several such
 chains one whose characters are such as clean texts have goes first; characters that they lack reject none. Where bytes were lost to replacement characters the text is found, but cannot be restored.
 
@@ -20,18 +21,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.sampling import bounded_sample
 
-#: Lines of non-ASCII text that the classifier is fitted on, and the longest part of a line that is used.
+#: Lines of non-ASCII text that the classifier is fitted on; longer lines are drawn in parts of ``LINE`` characters, all of them.
 SAMPLE, LINE, SEED = 12_000, 400, 5
+#: Parts of the sample that are counted apart.
+PARTS = 4
 BUCKETS = 1 << 15
 #: Log-odds against clean that a stretch, and all stretches of a line together, must exceed.
 STRETCH_ODDS, LINE_ODDS = 8.0, 16.0
 #: Log-odds beyond which a stretch is garbled although no chain can be inverted: bytes were dropped on the way.
 CERTAIN_ODDS = 40.0
+#: Log-odds below the likeliest chain within which a chain is tried that has a character for almost any bytes.
+UNPROVEN_GAP = 6.0
 LOST = "�"
 #: Share of the characters beyond ASCII from which on a page of 64 characters is a familiar one.
 FAMILIAR = 5e-5
@@ -143,33 +148,28 @@ def _around(line: str, start: int, end: int) -> str:
     return (line[start - 1] if start else " ") + line[start:end] + (line[end] if end < len(line) else " ")
 
 
+def class_counts(lines: list[str], k: int) -> tuple[np.ndarray, Counter]:
+    """How often each bigram occurs in the stretches of ``lines`` after the k-th chain (0: as they are), and pages of characters."""
+    chain = CHAINS[k - 1] if k else ()
+    texts = []
+    for line in lines:
+        text = garble(line, chain) if chain else line
+        if text is not None and (not chain or text != line):
+            texts += [_around(text, s, e) for s, e in stretches(text)]
+    # A line end keeps the bigrams of neighbouring stretches apart.
+    counts = np.bincount(bigrams("\n".join(texts)), minlength=BUCKETS) if texts else np.zeros(BUCKETS, np.int64)
+    return counts, Counter(ord(c) >> 6 for t in texts for c in t) if not k else Counter()
+
+
 class EncodingClassifier:
     """Log-odds of each chain against clean, per bigram; and the character pages that clean text has."""
 
-    def __init__(self, lines: list[str]) -> None:
-        self._fit(lines)
-        clean = [x for x in lines if not self.faults(x)]
+    def __init__(self, counts: np.ndarray, pages: Counter) -> None:
+        """From the counts of each class (clean first) by bigram, and the pages of the clean texts."""
         self.known: dict[str, tuple] = {}
-        self._fit(clean or lines)
-
-    def _fit(self, lines: list[str]) -> None:
-        self.known = {}
-        counts = np.full((len(CHAINS) + 1, BUCKETS), 0.5)
-        pages: Counter = Counter()
-        for k, chain in enumerate([(), *CHAINS]):
-            texts = []
-            for line in lines:
-                text = garble(line, chain) if chain else line
-                if text is not None and (not chain or text != line):
-                    texts += [_around(text, s, e) for s, e in stretches(text)]
-            if not chain:
-                pages.update(ord(c) >> 6 for c in "".join(texts))
-            # A line end keeps the bigrams of neighbouring stretches apart.
-            if texts:
-                counts[k] += np.bincount(bigrams("\n".join(texts)), minlength=BUCKETS)
         self.pages = {p for p, n in pages.items() if n > FAMILIAR * pages.total()}
         # All classes are counted over the same lines, so their rates compare although few lines fit some encodings.
-        rates = np.log(counts / counts[0].sum())
+        rates = np.log((counts + 0.5) / (counts[0] + 0.5).sum())
         self.odds = (rates[1:] - rates[0]).T.astype(np.float32)
 
     def _familiar(self, text: str) -> bool:
@@ -196,9 +196,11 @@ class EncodingClassifier:
         """(chain, start, end, original or null) if a chain is likelier than clean by ``least`` and holds."""
         other, proven = None, False
         order = odds.argsort()[::-1]
-        for k in order[:6]:
+        for k in order:
             if odds[k] < least:
                 break
+            if odds[k] < odds[order[0]] - UNPROVEN_GAP and CHAINS[k][0][0] != "utf-8":
+                continue
             found = self._inverse(line, start, end, CHAINS[k])
             if found and self._familiar(found[2]):
                 return (int(k), *found)
@@ -212,10 +214,10 @@ class EncodingClassifier:
             elif other is None and _lost(line[start:end], CHAINS[k]) and (LOST in line[start:end] or clear):
                 return int(k), start, end, None
         best = int(order[0])
-        if not proven:
+        if not proven and odds[best] > CERTAIN_ODDS:
             # Characters that the sample lacks say little for their own chain, but whatever is garbled may prove itself.
-            for k in order[6:] if odds[best] >= least else ():
-                if CHAINS[k][0][0] == "utf-8" and (odds[k] >= least or odds[best] > CERTAIN_ODDS) and (found := self._inverse(line, start, end, CHAINS[k])):
+            for k in order:
+                if odds[k] < least and CHAINS[k][0][0] == "utf-8" and (found := self._inverse(line, start, end, CHAINS[k])):
                     return (int(k), *found)
         if other:
             return other
@@ -303,15 +305,56 @@ class EncodingClassifier:
         return sorted(set(chains)), None if lost or not chains else "\n".join(lines)
 
 
+def fitted(spark: SparkSession, lines: list[str]) -> EncodingClassifier:
+    """A classifier of ``lines``, whose garbled examples are made and counted in tasks."""
+    import pyarrow as pa
+
+    sc = spark.sparkContext
+    shared = sc.broadcast(lines)  # at most SAMPLE lines of LINE characters
+
+    def model(kept: list[int] | None) -> EncodingClassifier:
+        chosen = sc.broadcast(kept)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = shared.value if chosen.value is None else [shared.value[i] for i in chosen.value]
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    counts, pages = class_counts(every[at % PARTS :: PARTS], at // PARTS)
+                    held = np.flatnonzero(counts)
+                    sums = [np.array(list(x), np.int64).tobytes() for x in (held, counts[held], pages.keys(), pages.values())]
+                    yield pa.RecordBatch.from_arrays([pa.array([at // PARTS]), *(pa.array([x], pa.binary()) for x in sums)], ["k", "bigrams", "counts", "pages", "uses"])
+
+        units = (len(CHAINS) + 1) * PARTS
+        counts, pages = np.zeros((len(CHAINS) + 1, BUCKETS)), Counter()
+        rows = spark.range(0, units, 1, units).mapInArrow(count, "k bigint, bigrams binary, counts binary, pages binary, uses binary")
+        for k, *sums in rows.collect():  # a row per chain and part, of at most BUCKETS entries
+            bigram, n, page, uses = (np.frombuffer(x, np.int64) for x in sums)
+            counts[k, bigram] += n
+            pages.update(dict(zip(page.tolist(), uses.tolist(), strict=True)))
+        return EncodingClassifier(counts, pages)
+
+    first = sc.broadcast(model(None))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not first.value.faults(shared.value[i]) for i in batch.column(0).to_pylist()], pa.bool_()))
+
+    tasks = 2 * sc.defaultParallelism
+    kept = [r[0] for r in spark.range(0, len(lines), 1, tasks).mapInArrow(clean, "id bigint").collect()]
+    return model(sorted(kept)) if kept else first.value
+
+
 def fit_classifier(documents: DataFrame, key: str = "doc_id", text: str = "text") -> EncodingClassifier:
     """A classifier of the texts' own languages, from a seeded sample of at most ``SAMPLE`` lines beyond ASCII.
 
     Lines are drawn by their place, not by their content, so frequent lines have their share of the sample.
     """
-    lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.substring("line", 1, LINE)).filter(r"line rlike '[^\\x00-\\x7f]'")
-    sample = bounded_sample(lines, F.xxhash64("key", "at", F.lit(SEED)), lines.count(), SAMPLE)
-    return EncodingClassifier([r["line"] for r in sample])
+    lines = documents.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "whole")).filter(r"whole rlike '[^\\x00-\\x7f]'")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("whole"), F.lit(1)), F.lit(LINE))
+    parts = lines.select("key", "at", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring("whole", i, F.lit(LINE)).alias("line")))).alias("p"))
+    parts = parts.select("key", "at", "p.start", "p.line").filter(r"line rlike '[^\\x00-\\x7f]'")
+    sample = bounded_sample(parts, F.xxhash64("key", "at", "start", F.lit(SEED)), parts.count(), SAMPLE)
+    return fitted(documents.sparkSession, [r["line"] for r in sample])
 
 
 def repaired(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

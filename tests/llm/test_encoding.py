@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillstone.llm.encoding import CHAINS, EncodingClassifier, garble, repaired, restore
+from quillstone.llm.encoding import CHAINS, fitted, garble, repaired, restore
 
 CLEAN = {
     "fr": "Le nœud de relais répète la fenêtre élargie lorsque le délai est dépassé. L’équipement vérifie la clé déjà dérivée à très faible débit.",
@@ -19,10 +19,10 @@ def corpus(n=1500, seed=1):
 
 
 @pytest.fixture(scope="module")
-def model():
+def model(spark):
     lines = corpus()
     lines[::97] = [garble(x, CHAINS[1]) for x in lines[::97]]
-    return EncodingClassifier(lines)
+    return fitted(spark, lines)
 
 
 @pytest.mark.parametrize("language", CLEAN)
