@@ -59,8 +59,20 @@ class BurstTrie:
     def __init__(self, container: int = CONTAINER) -> None:
         self.container, self.root, self.entries = container, [{}], 0
 
-    def add(self, key: str, counts: tuple[int, int]) -> None:
-        self.merge("", [key], [counts[0]], [counts[1]])
+    def add(self, key: str, n: int, d: int) -> None:
+        holder, slot, at, depth = None, "", self.root, 0
+        while type(at) is dict:
+            holder, slot = at, key[depth : depth + 1]
+            at = at.get(slot)
+            if at is None:
+                at = holder[slot] = [{}]
+            depth += 1
+        held, suffix = at[0], key[depth:]
+        old = held.get(suffix)
+        if old:
+            held[suffix] = (old[0] + n, old[1] + d)
+        else:
+            self._fill(at, holder, slot, [(suffix, n, d)])
 
     def merge(self, prefix: str, suffixes: list[str], occurrences: list[int], docs: list[int]) -> None:
         """Add the entries of another trie's container."""
@@ -133,7 +145,7 @@ def _count(batches: Iterator) -> Iterator:
 
     for batch in batches:
         for key, n, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            trie.add(key, (n, d))
+            trie.add(key, n, d)
         if trie.entries > TRIE:
             yield from handed()
             trie = BurstTrie()

@@ -30,13 +30,42 @@ def test_trie():
     trie, wanted = BurstTrie(4), defaultdict(lambda: [0, 0])
     for _ in range(3000):
         key = "".join(rng.choice("ab\x00") for _ in range(rng.randint(0, 9)))
-        trie.add(key, (1, 2))
+        trie.add(key, 1, 2)
         wanted[key][0] += 1
         wanted[key][1] += 2
     found = {p + s: [n, d] for p, ss, ns, ds in trie.containers() for s, n, d in zip(ss, ns, ds, strict=True)}
     assert found == dict(wanted) and trie.entries == len(wanted)
 
 
+def test_tries_merge_container_by_container():
+    rng = random.Random(2)
+    whole, wanted = BurstTrie(6), defaultdict(lambda: [0, 0])
+    for _ in range(20):
+        part = BurstTrie(3)
+        for _ in range(300):
+            key = "".join(rng.choice("abc\x00") for _ in range(rng.randint(0, 8)))
+            part.add(key, 1, 3)
+            wanted[key][0] += 1
+            wanted[key][1] += 3
+        for container in part.containers():
+            whole.merge(*container)
+    found = [(p + s, [n, d]) for p, ss, ns, ds in whole.containers() for s, n, d in zip(ss, ns, ds, strict=True)]
+    assert dict(found) == dict(wanted) and whole.entries == len(wanted) and [k for k, _ in found] == sorted(wanted)
+
+
+def test_no_subtree_gets_more_than_its_bound(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(module, "ENTRIES", 60)
+    monkeypatch.setattr(module, "CONTAINER", 16)
+    seen = module._route
+    # A skewed vocabulary: most terms share a long prefix.
+    rows = [(i, f"d{i % 50}", f"s{i % 3}", ("common prefix " if i % 4 else "x") + str(i % 400), "", 1) for i in range(2000)]
+    frame = spark.createDataFrame(rows, HITS)
+    assert got(frame) == brute(rows)
+    crowded = frozenset({"", "c", "co"})
+    assert seen("comm", crowded) == "com" and seen("x", crowded) == "x" and not sizes
+
+
 def test_counts(spark, monkeypatch):
     monkeypatch.setattr(module, "CONTAINER", 8)
     rng = random.Random(2)
