@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import col, collapse, fingerprint, without_article
+from quillstone.functions.text import col, collapse, compatible, fingerprint, without_article
 
 
 def _strings(x: Column) -> Column:
@@ -35,13 +35,13 @@ def _changes(items: Column, kind: str, value) -> Column:  # noqa: ANN001
 
 
 def distinct_terms(x: Column | str) -> Column:
-    """Terms on one line, without article and empty ones, each fingerprint once."""
-    clean = F.transform(_strings(col(x)), lambda v: without_article(collapse(v)))
+    """Terms on one line in compatible characters, without article and empty ones, each fingerprint once."""
+    clean = F.transform(_strings(col(x)), lambda v: without_article(collapse(compatible(v))))
     return first_by(F.filter(clean, lambda v: v != ""), fingerprint)
 
 
 def distinct_trimmed(x: Column | str) -> Column:
-    return F.array_distinct(F.filter(F.transform(_strings(col(x)), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(_strings(col(x)), lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def keyword_list(x: Column | str, most: int) -> Column:
@@ -83,7 +83,7 @@ def table_text(title: Column | str, rows: Column | str) -> Column:
     matrix = col(rows)
     head = F.get(matrix, 0)
     body = F.filter(
-        F.transform(F.slice(matrix, 2, 10**6), lambda r, i: F.struct((i + 1).alias("i"), row_text(head, r).alias("t"))), lambda s: s["t"] != ""
+        F.transform(F.slice(matrix, F.lit(2), F.greatest(F.size(matrix), F.lit(1))), lambda r, i: F.struct((i + 1).alias("i"), row_text(head, r).alias("t"))), lambda s: s["t"] != ""
     )
     lines = F.transform(body, lambda s: F.concat(F.lit("row "), s["i"], F.lit(": "), s["t"]))
     only_head = F.when(F.size(matrix) == 1, F.array(F.array_join(F.filter(F.transform(_strings(head), collapse), lambda v: v != ""), "; "))).otherwise(F.array())

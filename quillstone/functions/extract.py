@@ -17,6 +17,7 @@ ACRONYM = r"\b[A-Z][A-Z0-9\-]{1,}\b"
 CAMEL_CASE = r"\b[a-z]+(?:[A-Z][a-z0-9]+){1,}\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+){1,}\b"
 IE_NAME = r"\b([A-Z][A-Za-z0-9/\-]*(?:\s+[A-Z][A-Za-z0-9/\-]*)*\s+(?:IE|information element))\b"
 PROCEDURE_NAME = r"(?i)\b([A-Z0-9][A-Za-z0-9/\-]*(?:\s+[A-Z0-9][A-Za-z0-9/\-]*)*\s+procedures?)\b"
+QUERY_SPEC = r"\b(?:3GPP\s+)?(?:TS|TR)?\s*(\d{2}\.\d{3}|\d{5})\b"
 QUERY_TOKEN = r"\b[A-Za-z][A-Za-z0-9\-]{1,}\b"
 COMPOUND_TOKEN = r"\b[A-Za-z][A-Za-z0-9_/-]{4,}\b"
 NUMBERED_HEADING = r"^((?:\d+[A-Za-z]?(?:\.\d+[A-Za-z]?)*)|(?:[A-Z](?:\.\d+[A-Za-z]?)+))\s+(.+)$"
@@ -26,10 +27,13 @@ CAPTION = r"^(?:Figure|Table)\s+[A-Za-z0-9.\-]+\s*:"
 
 # Words that end a message name, words that are no keywords, no query words, and titles of little content.
 MESSAGE_WORDS = ["request", "response", "accept", "reject", "command", "complete", "transfer", "notification", "indication", "message"]
-KEYWORD_STOPWORDS = "shall should that with this from have when into between table clause figure support stage release".split()
-QUERY_STOPWORDS = (
-    "a an and are for from how in of on or show spec specification stage the document tr ts to what when where which with is defined end path paths"
-).split()
+KEYWORD_STOPWORDS = [
+    "shall", "should", "that", "with", "this", "from", "have", "when", "into", "between", "table", "clause", "figure", "support", "stage", "release",
+]
+QUERY_STOPWORDS = [
+    "a", "an", "and", "are", "for", "from", "how", "in", "of", "on", "or", "show", "spec", "specification", "stage", "the", "document", "tr", "ts", "to",
+    "what", "when", "where", "which", "with", "is", "defined", "end", "path", "paths",
+]
 QUERY_GENERIC = ["end", "path", "paths", "message", "messages", "procedure", "procedures"]
 TRAILING_WORDS = ["handling", "procedures", "procedure", "values", "value", "support"]
 GENERIC_TITLES = ["general", "feature negotiation", "successful operation", "resource definition", "references", "introduction", "overview"]
@@ -67,16 +71,16 @@ def terms_of(texts: list[Column], pattern: str, group: int = 0) -> Column:
 
 
 def message_names(x: Column | str) -> Column:
-    """Runs of capitalised or numbered words that end in a message word, of at least two words; found in one pass."""
+    """Runs of capitalised or numbered words that end in a message word, of at least two words, each without punctuation; in one pass."""
     tokens = F.filter(F.split(collapse(F.coalesce(col(x), F.lit(""))), " "), lambda t: t != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("run"))
 
     def add(acc: Column, t: Column) -> Column:
         bare = F.btrim(t, F.lit(".,;:()"))
-        named = F.concat(acc["run"], t)
+        named = F.concat(acc["run"], bare)
         ends = F.lower(F.regexp_replace(t, r"[.,;:]+$", "")).isin(MESSAGE_WORDS) & (acc["run"] != "")
         return F.struct(
-            F.when(ends, F.array_append(acc["out"], F.btrim(named, F.lit(".,;:()")))).otherwise(acc["out"]).alias("out"),
+            F.when(ends, F.array_append(acc["out"], named)).otherwise(acc["out"]).alias("out"),
             F.when(bare.rlike(r"^\p{Lu}") | bare.rlike(r"\d"), F.concat(named, F.lit(" "))).otherwise("").alias("run"),
         )
 
@@ -162,6 +166,22 @@ def is_next_hop_title(x: Column | str) -> Column:
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 
+def query_specs(x: Column | str) -> Column:
+    """The specifications that a query names, TS and TR being optional; without dot, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.transform(matches(x, QUERY_SPEC, 1), lambda v: F.translate(v, ".", ""))))
+
+
+def query_stages(x: Column | str) -> Column:
+    """'Stage N' as often as a query names stages, each once; sorted."""
+    return F.array_sort(F.array_distinct(F.transform(matches(x, r"(?i)\b(stage\s+\d+)\b", 1), F.initcap)))
+
+
+def query_stage_filters(x: Column | str) -> Column:
+    """The stages of a query, and 'else' if it has that word."""
+    other = F.when(col(x).rlike(r"(?i)\belse\b"), F.array(F.lit("else"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(query_stages(x), other)
+
+
 def query_tokens(x: Column | str) -> Column:
     """Words to search for: no stop words; generic words only in short queries; short ones only in capitals."""
     raw = matches(x, QUERY_TOKEN)
@@ -180,7 +200,7 @@ def query_aliases(x: Column | str) -> Column:
         def at(i: Column) -> Column:
             words = F.slice(raw, i, size)
             rest = F.slice(words, 2, size - 1)
-            glued = F.concat(words[0], F.array_join(F.transform(rest, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10**6))), ""))
+            glued = F.concat(words[0], F.array_join(F.transform(rest, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), ""))
             return F.when(words[0].rlike(r"\d") & ~F.exists(rest, lambda w: F.lower(w).isin(QUERY_STOPWORDS)), glued)
 
         return F.when(F.size(raw) >= size, F.array_compact(F.transform(F.sequence(F.lit(1), F.size(raw) - size + 1), at))).otherwise(F.array())

@@ -1,9 +1,13 @@
-"""Text normalisation as Column expressions; nothing here leaves the JVM."""
+"""Text normalisation as Column expressions; nothing here leaves the JVM but ``nfkc``, and that only for texts beyond ASCII."""
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The characters that Unicode counts as white space, plus the four separators of ASCII.
 WHITE = (
@@ -54,6 +58,44 @@ def fingerprint(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(col(x)), r"(?U)\s+", "")
 
 
+#: Characters without width, which terms are rid of.
+ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2060}\x{feff}]"
+#: Single characters with a compatible single one (full-width letters, styled digits, odd blanks), by rule.
+_ODD = [c for c in map(chr, range(0xA0, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000 and len(normalize("NFKC", c)) == 1 and normalize("NFKC", c) != c]
+_COMPATIBLE = ("".join(_ODD), "".join(normalize("NFKC", c) for c in _ODD))
+BEYOND_ASCII = r"[^\x00-\x7f]"
+
+
+def compatible(x: Column | str) -> Column:
+    """Single characters made their compatible ones, and those without width dropped: NFKC as far as it maps one to one.
+
+    An expression, so it works within arrays; ``nfkc`` also composes marks and expands ligatures.
+    """
+    plain = F.regexp_replace(F.translate(col(x), *_COMPATIBLE), ZERO_WIDTH, "")
+    return F.when(F.coalesce(col(x), F.lit("")).rlike(BEYOND_ASCII), plain).otherwise(col(x))
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: normalize("NFKC", t), na_action="ignore")
+
+
+def nfkc(x: Column | str) -> Column:
+    """Unicode NFKC; texts of ASCII alone do not leave the JVM."""
+    odd = F.when(col(x).rlike(BEYOND_ASCII), col(x))
+    return F.coalesce(_nfkc(odd), col(x))
+
+
+def normal_space(x: Column | str) -> Column:
+    """NFKC, without characters of no width, on one line."""
+    return collapse(F.regexp_replace(nfkc(x), ZERO_WIDTH, ""))
+
+
+def term_mark(x: Column | str) -> Column:
+    """What equal terms share: ``normal_space`` in lower case without white space."""
+    return fingerprint(normal_space(x))
+
+
 def search_term(x: Column | str) -> Column:
     return F.lower(collapse(x))
 

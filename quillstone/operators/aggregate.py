@@ -17,14 +17,16 @@ from quillstone.operators.enrich import anchor_source_terms, labelled, registry_
 
 # Weights of the sources of a term, and terms that count less.
 CANDIDATE_WEIGHTS = {"clause_title": 2.0, "table_title": 1.8, "row_header": 1.7, "abbreviation_long": 1.2, "abbreviation_short": 1.5, "row_value": 0.4}
-GENERIC_CANDIDATES = "general introduction overview procedure description parameters message messages information network service requirements".split()
+GENERIC_CANDIDATES = [
+    "general", "introduction", "overview", "procedure", "description", "parameters", "message", "messages", "information", "network", "service", "requirements",
+]
 GENERIC_HINTS = [
     "general", "overview", "introduction", "procedure", "procedures", "message", "messages", "service", "services", "system", "network", "stage 2",
     "release 18", "inputs", "outputs", "semantics", "components", "cardinality", "operation definition", "information element definitions",
     "successful operation", "criticality", "yaml",
 ]
 NOISY_HINT = r"\b(?:sp-\d+[a-z]?|\d{2}-\d{4}|\d{4}-\d{2}|v\d+(?:\.\d+)+|release \d+|annex [a-z]|change history)\b"
-GENERIC_SIGNALS = "general overview introduction procedure procedures network service".split()
+GENERIC_SIGNALS = ["general", "overview", "introduction", "procedure", "procedures", "network", "service"]
 REASON_WEIGHTS = {"direct_hit": 3.0, "anchor_hit": 2.0, "table_row_hit": 1.8, "referenced_spec_hit": 1.2}
 STAGES = ["Stage 2", "Stage 3", "else"]
 

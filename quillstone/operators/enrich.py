@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import arrays, extract
 from quillstone.functions.arrays import distinct_terms, joined
 from quillstone.functions.extract import KEYWORD_STOPWORDS, WORD, matches
-from quillstone.functions.text import collapse
+from quillstone.functions.text import collapse, strip_white
 
 
 def labelled(terms: Column | str, label: str, term: str = "term", kind: str = "source") -> Column:
@@ -90,7 +90,7 @@ def tables(clauses: DataFrame) -> DataFrame:
 
 def table_rows(clauses: DataFrame) -> DataFrame:
     """A row for each row below the header of each table: row_no from 1, its cells, header and line."""
-    rows = tables(clauses).select("row_id", "block_no", "clause_title", F.col("matrix")[0].alias("head"), F.posexplode(F.slice("matrix", 2, 10**6)).alias("at", "cells"))
+    rows = tables(clauses).select("row_id", "block_no", "clause_title", F.col("matrix")[0].alias("head"), F.posexplode(F.slice("matrix", F.lit(2), F.size("matrix"))).alias("at", "cells"))
     return rows.select(
         "row_id", "block_no", "clause_title", (F.col("at") + 1).alias("row_no"), "cells", arrays.row_header("cells").alias("row_header"), arrays.row_text("head", "cells").alias("line")
     )
@@ -103,6 +103,40 @@ def record_body() -> Column:
     return F.when(F.col("doc_type") == "table_row_doc", row).otherwise(joined([F.col("spec_no"), F.col("clause_id"), F.col("clause_title"), F.col("text")], "\n"))
 
 
+def record_context(size: int = 1200) -> Column:
+    """What tells a reader where a record stands: titles, row header, summary and the first ``size`` characters of its text, a line each."""
+    return _lines(["spec_title", "clause_title", "table_title", "row_header", "summary"], F.substring("text", 1, size))
+
+
+def content_text(size: int = 1200) -> Column:
+    """What a record says: summary, the first ``size`` characters of its text, its table and its cells."""
+    return _lines(["summary"], F.substring("text", 1, size), F.col("table_markdown"), F.array_join("row_cells", " "))
+
+
+def _lines(columns: list[str], *more: Column) -> Column:
+    return joined([strip_white(c) for c in [*map(F.col, columns), *more]], "\n")
+
+
+def fallback_blocks(text: str) -> Column:
+    """A paragraph for each line of a text that is not blank, for clauses without blocks."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), strip_white), lambda v: v != "")
+    return F.transform(lines, lambda v: F.struct(F.lit("paragraph").alias("block_kind"), v.alias("block_text")))
+
+
+def with_metadata(files: DataFrame, path: str, overrides: DataFrame, fields: list[str]) -> DataFrame:
+    """``path_metadata`` of ``files``, with the fields that ``overrides`` (source, ``fields``) gives for the whole path, or else for the file's name.
+
+    An override counts as a whole: where the path has one, that of the name is not looked at. A null field of it is filled
+    from the path.
+    """
+    hinted = path_metadata(files, path).withColumn("_name", F.regexp_extract(path, r"([^/]*)$", 1))
+    given = overrides.groupBy("source").agg(F.max(F.struct(*fields)).alias("o"))
+    by_path = given.select(F.col("source").alias(path), F.col("o").alias("_p"))
+    by_name = given.select(F.col("source").alias("_name"), F.col("o").alias("_n"))
+    both = hinted.join(by_path, path, "left").join(by_name, "_name", "left").withColumn("_o", F.coalesce("_p", "_n"))
+    return both.withColumns({f: F.coalesce(f"_o.{f}", f) for f in fields}).drop("_p", "_n", "_o", "_name")
+
+
 def searchable_text() -> Column:
     """The text under which a record is found: a table's text, a row's text or cells, else the record's text."""
     filled = F.nullif("text", F.lit(""))

@@ -1,6 +1,7 @@
 """Searches that expand: two phases, several hops, and judged rounds.
 
-A hop's terms are few (a stated limit) and travel as a broadcast of that size; hits and seen documents stay DataFrames.
+A hop's terms are those a caller lists, or as many signals, anchors or keywords as a parameter states; they travel as a
+broadcast of that size. Hits and seen documents stay DataFrames.
 What judges hits is a function from DataFrame to DataFrame, so that a model can take the place of the heuristic.
 """
 
@@ -17,14 +18,12 @@ from quillstone.lineage import cut
 from quillstone.operators import aggregate, search
 from quillstone.operators.select import best_per_key, first_per_content, unseen
 
-#: Terms that one hop may search for.
-MOST_TERMS = 50
 Judge = Callable[[DataFrame], DataFrame]
 
 
 def search_terms(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, score and ``boost`` of enriched records that hold one of ``terms`` (term, boost), at most MOST_TERMS of them."""
-    few = F.broadcast(terms.orderBy(F.desc("boost"), "term").limit(MOST_TERMS).select(F.lower("term").alias("term"), "boost"))
+    """doc_id, term, score and ``boost`` of enriched records that hold one of ``terms`` (term, boost), a caller's list or a stated number."""
+    few = F.broadcast(terms.select(F.lower("term").alias("term"), "boost"))
     whole = F.lower(F.concat_ws(" ", "clause_title", "row_header", "text", F.array_join("row_cells", " "), F.array_join("anchor_terms", " ")))
     return records.join(few, F.contains(whole, F.col("term"))).withColumn("score", search.term_tier(F.col("term"))).filter("score > 0")
 

@@ -24,7 +24,7 @@ SIGNAL_WEIGHTS = {
     "title_exact": 4.8, "title": 1.8, "ie_name": 2.2, "message_name": 2.2, "procedure_name": 1.8, "table_header": 1.5, "table_row": 1.2, "spec_reference": 1.0, "similarity": 1.4,
 }
 ANCHOR_WEIGHTS = {"ie_name": 2.5, "message_name": 2.5, "procedure_name": 1.8, "table": 1.5, "spec_reference": 1.4, "acronym": 1.0, "camel_case": 1.0, "clause_title": 1.2}
-GENERIC_ANCHOR_TERMS = "note ts ran path paths end message messages procedure procedures".split()
+GENERIC_ANCHOR_TERMS = ["note", "ts", "ran", "path", "paths", "end", "message", "messages", "procedure", "procedures"]
 PROFILES = {
     "bm25": {"text": 1.0, "clause_title": 1.8, "row_header": 1.5, "stage_hint": 1.1},
     "table_focus": {"text": 0.8, "row_header": 1.9},
@@ -46,17 +46,23 @@ class Ranking:
     """Boosts of a hybrid query; the defaults are those of a single query."""
 
     profile: str = "hybrid"
-    sparse: float = 0.45
-    vector: float = 1.0
-    title: float = 1.0
-    stage: float = 1.0
+    sparse: float = 1.25
+    vector: float = 0.45
+    anchor: float = 1.15
+    title: float = 1.2
+    stage: float = 1.1
 
     def weights(self) -> dict[str, float]:
         """The field weights of the profile, boosted."""
-        boosts = {"clause_title": self.title, "stage_hint": self.stage}
+        boosts = {"anchor_terms": self.anchor, "clause_title": self.title, "stage_hint": self.stage}
         return {f: w * boosts.get(f, 1.0) for f, w in ENRICHED_PROFILES[self.profile].items()}
 
 
+#: The default boosts of a single query, and of the rounds of an iterative search, which go by vectors alone.
+SINGLE = Ranking()
+ITERATIVE = Ranking(sparse=0.0, vector=1.0)
+
+
 def _sum(parts: list[Column]) -> Column:
     return reduce(Column.__add__, parts, F.lit(0.0))
 

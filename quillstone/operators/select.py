@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.functions.text import filled, search_term
+from quillstone.functions.text import col, filled, search_term, strip_white
 
 
 def distinct_words(terms: Sequence[str]) -> list[str]:
@@ -104,31 +104,63 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
-def labelled_by(rows: DataFrame, text: Column, key: str, taxonomy: DataFrame) -> DataFrame:
-    """key and the labels, joined, of which ``text`` holds a term regardless of case; ``taxonomy`` has label and term.
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """text, term: every distinct text of ``texts`` (text) with each distinct term of ``terms`` (term) that it contains, as written.
 
-    Equal texts are searched once. A term is looked up by its gram that the fewest texts hold, among the distinct grams of
-    the texts, and then verified. Only grams that some term has are shuffled. A key on several rows has all their labels.
+    A term is looked up by its gram that the fewest texts hold, among the distinct grams of the texts, and then verified.
+    Only grams that some term has are shuffled. Null texts and null or empty terms are left out.
     """
-    low = rows.select(key, F.lower(text).alias("_text")).filter("_text is not null")
-    texts = low.select("_text").distinct().withColumn("_id", F.xxhash64("_text", F.lit(1)))
-    terms = taxonomy.select("label", F.lower("term").alias("term")).filter("term is not null and label is not null").distinct()
+    texts = texts.select("text").filter("text is not null").distinct().withColumn("_id", F.xxhash64("text", F.lit(1)))
     size = F.coalesce(*[F.when(F.length("term") >= n, F.lit(n)) for n in GRAMS])
-    of_terms = terms.filter("term <> ''").select("term").distinct().withColumn("_size", size)
+    of_terms = terms.select("term").filter("term is not null and term <> ''").distinct().withColumn("_size", size)
     of_terms = of_terms.select("term", F.explode(F.coalesce(*[F.when(F.col("_size") == n, _grams(F.col("term"), n)) for n in GRAMS])).alias("gram"))
-    grams = texts.select("_id", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in GRAMS])).alias("gram"))
+    grams = texts.select("_id", F.explode(F.concat(*[_grams(F.col("text"), n) for n in GRAMS])).alias("gram"))
     held = grams.join(of_terms.select("gram").distinct(), "gram", "left_semi")
     uses = held.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
     # A gram that no text holds rules its term out.
     rarest = of_terms.join(uses, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r")).filter("r.uses > 0")
     pairs = held.join(rarest.select("term", F.col("r.gram").alias("gram")), "gram").select("_id", "term")
-    found = pairs.join(texts, "_id").filter(F.contains(F.col("_text"), F.col("term"))).join(terms, "term").select("_text", "label").distinct()
-    anywhere = terms.filter("term = ''").select("label").distinct().crossJoin(texts.select("_text"))  # as contains has it; at most a row per label
-    by_text = found.unionByName(anywhere).groupBy("_text").agg(F.collect_set("label").alias("_labels"))
-    by_key = low.join(by_text, "_text").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_labels"))).alias("_l"))
+    return pairs.join(texts, "_id").filter(F.contains(F.col("text"), F.col("term"))).select("text", "term").distinct()
+
+
+def labelled_by(rows: DataFrame, text: Column, key: str, taxonomy: DataFrame) -> DataFrame:
+    """key and the labels, joined, of which ``text`` holds a term regardless of case; ``taxonomy`` has label and term.
+
+    Equal texts are searched once. A key on several rows has all their labels.
+    """
+    low = rows.select(key, F.lower(text).alias("text")).filter("text is not null")
+    terms = taxonomy.select("label", F.lower("term").alias("term")).filter("term is not null and label is not null").distinct()
+    found = containing(low, terms).join(terms, "term").select("text", "label").distinct()
+    anywhere = terms.filter("term = ''").select("label").distinct().crossJoin(low.select("text").distinct())  # as contains has it; at most a row per label
+    by_text = found.unionByName(anywhere).groupBy("text").agg(F.collect_set("label").alias("_labels"))
+    by_key = low.join(by_text, "text").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_labels"))).alias("_l"))
     return by_key.select(key, F.array_join(F.array_sort("_l"), "|").alias("labels"))
 
 
+def excluded_specs(x: Column | str) -> Column:
+    """The specifications of an exclusion text: parted by commas and line ends, trimmed."""
+    return F.filter(F.transform(F.split(col(x), r"\r?\n|,"), strip_white), lambda v: v != "")
+
+
+def excluded_clauses(x: Column | str) -> Column:
+    """struct(spec, clause) of each 'spec:clause' of an exclusion text; parts that lack one of both are left out."""
+    pair = lambda v: F.struct(strip_white(F.get(F.split(v, ":"), F.lit(0))).alias("spec"), strip_white(F.get(F.split(v, ":"), F.lit(1))).alias("clause"))
+    return F.filter(F.transform(excluded_specs(x), pair), lambda p: (p["spec"] != "") & (F.coalesce(p["clause"], F.lit("")) != ""))
+
+
+def hit_views(hits: DataFrame, order: list[Column | str], size: int = 240) -> DataFrame:
+    """spec_no, clause_id and preview of the hits that are judged relevant, each clause once; hits without either are left out."""
+    named = hits.filter(F.coalesce("relevant", F.lit(False))).withColumns({c: strip_white(c) for c in ("spec_no", "clause_id")}).filter("spec_no <> '' and clause_id <> ''")
+    first = best_per_key(named, ["spec_no", "clause_id"], order)
+    return first.select("spec_no", "clause_id", F.substring(strip_white(F.coalesce("text", F.lit(""))), 1, size).alias("preview"))
+
+
+def collected(words: DataFrame, word: str, order: list[str]) -> DataFrame:
+    """``word`` and place of the distinct words (by ``search_term``) of all hits, as first written, in order of first use."""
+    first = words.withColumn("_key", search_term(word)).filter("_key <> ''").groupBy("_key").agg(F.min_by(word, F.struct(*order)).alias(word), F.min(F.struct(*order)).alias("first"))
+    return first.drop("_key")
+
+
 def found_posts(posts: DataFrame, query: str) -> DataFrame:
     """Posts whose title or body holds the query, the last changed first."""
     word = query.strip().lower()

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.functions.extract import QUERY_STOPWORDS, TRAILING_WORDS
+from quillstone.functions.extract import COMPOUND_TOKEN, QUERY_STOPWORDS, TRAILING_WORDS
 from quillstone.lineage import cut
 from quillstone.operators import aggregate, enrich, select
-from quillstone.operators.aggregate import GENERIC_CANDIDATES, GENERIC_HINTS, GENERIC_SIGNALS
+from quillstone.operators.aggregate import GENERIC_CANDIDATES, GENERIC_HINTS, GENERIC_SIGNALS, NOISY_HINT
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, hint, strip, words, ws
 from quillstone.sources.corpus import corpus
@@ -19,16 +19,21 @@ R = Registry()
 QUERIES, ORACLES, query = R.queries, R.oracles, R.query
 
 
-def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    """The enriched corpus, written once: filters and scores that use its columns several times do not extract them anew."""
-    return cut(enrich.enriched(corpus(spark, folder)))
+def _enriched(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """``columns`` (none: all) of the enriched corpus, written once: what uses them several times does not extract them anew."""
+    rows = enrich.enriched(corpus(spark, folder))
+    return cut(rows.select(*columns) if columns else rows)
+
+
+#: What a registry of terms is made of.
+REGISTRY = ["doc_id", "spec_no", "release_data", "release", "clause_title", "row_header", "anchor_terms", "keywords", "text"]
 
 
 @query(f"""with {ENRICHED}, a as (select doc_id, string_agg(term, '|' order by pos) as anchor_terms from anchors group by doc_id),
     k as (select doc_id, string_agg(word, '|' order by place) as keywords from kw group by doc_id)
     select doc_id, coalesce(anchor_terms, '') as anchor_terms, coalesce(keywords, '') as keywords from corpus left join a using (doc_id) left join k using (doc_id)""")
 def p1_enriched_records(spark: SparkSession, folder: str) -> DataFrame:
-    return _enriched(spark, folder).select("doc_id", F.array_join("anchor_terms", "|").alias("anchor_terms"), F.array_join("keywords", "|").alias("keywords"))
+    return enrich.enriched(corpus(spark, folder)).select("doc_id", F.array_join("anchor_terms", "|").alias("anchor_terms"), F.array_join("keywords", "|").alias("keywords"))
 
 
 @query(f"""with {ENRICHED} select doc_id as source_doc_id, case kind when 'ie_name' then 'ie' else 'message' end as entity_type, term as entity_name,
@@ -83,11 +88,10 @@ def g1_anchor_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return aggregate.anchor_candidates(corpus(spark, folder))
 
 
-_COMPOUND = r"\b[A-Za-z][A-Za-z0-9_/-]{4,}\b"
 _REGISTRY_TERMS = rf"""wt as (
       select doc_id, clause_title as t, 2.5::double as w, 0 as a, 1 as b from corpus union all select doc_id, row_header, 2.2, 1, 1 from corpus
       union all select doc_id, term, 1.6, 2, pos from anchors where pos <= 12 union all select doc_id, word, 0.8, 3, place from kw where place <= 8
-      union all select doc_id, t, 1.3, 4, i from (select doc_id, unnest(regexp_extract_all(text, '{_COMPOUND}')) as t, generate_subscripts(regexp_extract_all(text, '{_COMPOUND}'), 1) as i from corpus)
+      union all select doc_id, t, 1.3, 4, i from (select doc_id, unnest(regexp_extract_all(text, '{COMPOUND_TOKEN}')) as t, generate_subscripts(regexp_extract_all(text, '{COMPOUND_TOKEN}'), 1) as i from corpus)
         where regexp_matches(t, '[0-9]') or contains(t, '_') or regexp_matches(t, '[A-Z].*[A-Z]')),
     v as (select doc_id, w, a, b, {hint('t')} as whole, {hint(camel('trim(t)'))} as split from wt),
     e as (
@@ -98,7 +102,7 @@ _REGISTRY_TERMS = rf"""wt as (
     rt as materialized (
       select doc_id, spec_no, release_data, release, term, w from e join corpus using (doc_id)
       where spec_no <> '' and length(term) >= 4 and term not in {words(GENERIC_HINTS)} and term not in {words(QUERY_STOPWORDS)}
-        and not regexp_matches(term, '\b(?:sp-\d+[a-z]?|\d{{2}}-\d{{4}}|\d{{4}}-\d{{2}}|v\d+(?:\.\d+)+|release \d+|annex [a-z]|change history)\b')
+        and not regexp_matches(term, '{NOISY_HINT}')
         and not (not contains(term, ' ') and lower(term) = term and regexp_matches(term, '\p{{Ll}}'))
         and len(list_filter(string_split(term, ' '), lambda x: x not in {words(QUERY_STOPWORDS)})) > 0
       qualify row_number() over (partition by doc_id, term order by a, b, c) = 1)"""
@@ -117,12 +121,12 @@ def _registry_sql(scope: str) -> str:
 
 @query(_registry_sql(""))
 def g2_p7_f12_registry(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregate.term_registry(_enriched(spark, folder), [])
+    return aggregate.term_registry(_enriched(spark, folder, *REGISTRY), [])
 
 
 @query(_registry_sql("release_data, release"))
 def g18_release_registries(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregate.term_registry(_enriched(spark, folder), ["release_data", "release"])
+    return aggregate.term_registry(_enriched(spark, folder, *REGISTRY), ["release_data", "release"])
 
 
 @query(f"""with {ENRICHED}, s as (
@@ -131,7 +135,7 @@ def g18_release_registries(spark: SparkSession, folder: str) -> DataFrame:
     g as (select t, round(sum(w::double) - case when lower(t) in {words(GENERIC_SIGNALS)} then 1.5 else 0 end, 6) as s, array_to_string(list_sort(list(distinct r)), '|') as reasons from s where trim(t) <> '' group by t)
     select t as signal, round(s, 3) as score, reasons, case when s >= 4 then 'strong' when s >= 1.5 then 'normal' else 'reject' end as classification from g""")
 def g4_expansion_signals(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregate.expansion_signals(_enriched(spark, folder))
+    return aggregate.expansion_signals(enrich.enriched(corpus(spark, folder)))
 
 
 @query(f"""with {ENRICHED}, {ANCHOR_ROWS} select arg_min(anchor, (row_id, place)) as anchor, array_to_string(list_sort(list(distinct source)), '|') as sources,

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.functions.extract import KEYWORD_STOPWORDS, MESSAGE_WORDS
+from quillstone.functions.extract import ABBREVIATION, ACRONYM, CAMEL_CASE, IE_NAME, KEYWORD_STOPWORDS, MESSAGE_WORDS, PROCEDURE_NAME
 from quillstone.functions.text import GENERIC_ANCHORS
 from quillstone.plans.registry import CORPUS, camel, fp, words, ws
 
-_FOUND = {
-    "acronym": (r"\b[A-Z][A-Z0-9\-]{1,}\b", 0),
-    "camel_case": (r"\b[a-z]+(?:[A-Z][a-z0-9]+){1,}\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+){1,}\b", 0),
-    "ie_name": (r"\b([A-Z][A-Za-z0-9/\-]*(?:\s+[A-Z][A-Za-z0-9/\-]*)*\s+(?:IE|information element))\b", 1),
-    "procedure_name": (r"(?i)\b([A-Z0-9][A-Za-z0-9/\-]*(?:\s+[A-Z0-9][A-Za-z0-9/\-]*)*\s+procedures?)\b", 1),
-}
-_ABBREVIATION = r"\b([A-Za-z][A-Za-z0-9\-/ ]{3,}?)\s*\(([A-Z][A-Z0-9\-]{1,})\)"
+_FOUND = {"acronym": (ACRONYM, 0), "camel_case": (CAMEL_CASE, 0), "ie_name": (IE_NAME, 1), "procedure_name": (PROCEDURE_NAME, 1)}
 
 
 def _hits(kind: str, pattern: str, group: int) -> str:
@@ -24,7 +18,7 @@ def _hits(kind: str, pattern: str, group: int) -> str:
 ENRICHED = rf"""{CORPUS},
 src as materialized (select doc_id, k, [clause_title, row_header, text, array_to_string(row_cells, ' ')][k] as t from corpus, (select unnest(range(1, 5)) as k)),
 abbr as materialized (
-  select doc_id, {ws('l')} as long_form, s as short_form from (select doc_id, unnest(regexp_extract_all(text, '{_ABBREVIATION}', 1)) as l, unnest(regexp_extract_all(text, '{_ABBREVIATION}', 2)) as s from corpus)
+  select doc_id, {ws('l')} as long_form, s as short_form from (select doc_id, unnest(regexp_extract_all(text, '{ABBREVIATION}', 1)) as l, unnest(regexp_extract_all(text, '{ABBREVIATION}', 2)) as s from corpus)
   where contains({ws('l')}, ' ')),
 kw as materialized (
   select doc_id, word, row_number() over (partition by doc_id order by n desc, first) as place from (
@@ -39,7 +33,7 @@ msg as (select doc_id, k, i, coalesce(before, 0) + 1 as start from halt where en
 raw as (
   {' union all '.join(_hits(kind, *p) for kind, p in _FOUND.items())}
   union all
-  select 'message_name', m.doc_id, m.k, trim(string_agg(t.t, ' ' order by t.i), '.,;:()'), m.i from msg m join tok t on t.doc_id = m.doc_id and t.k = m.k and t.i between m.start and m.i group by m.doc_id, m.k, m.i),
+  select 'message_name', m.doc_id, m.k, string_agg(t.bare, ' ' order by t.i), m.i from msg m join tok t on t.doc_id = m.doc_id and t.k = m.k and t.i between m.start and m.i group by m.doc_id, m.k, m.i),
 terms as materialized (
   select kind, doc_id, t as term, row_number() over (partition by kind, doc_id order by k, i) as pos from (
     select * from (select kind, doc_id, k, i, regexp_replace({ws('t')}, '(?i)^(?:the|a|an)\s+', '') as t from raw) where t <> ''

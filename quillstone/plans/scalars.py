@@ -151,7 +151,7 @@ def e5_e6_e7_e8_e11_structured_terms(spark: SparkSession, folder: str) -> DataFr
     stop as (select *, max(case when bare = '' or not (regexp_matches(bare, '^\p{{Lu}}') or regexp_matches(bare, '[0-9]')) then i end)
              over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before from tok),
     name as (select doc_id, i, coalesce(before, 0) + 1 as start from stop where ends and i > coalesce(before, 0) + 1)
-    select n.doc_id, trim(string_agg(t.t, ' ' order by t.i), '.,;:()') as message
+    select n.doc_id, string_agg(t.bare, ' ' order by t.i) as message
     from name n join tok t on t.doc_id = n.doc_id and t.i between n.start and n.i group by n.doc_id, n.i""")
 def e9_message_names(spark: SparkSession, folder: str) -> DataFrame:
     return corpus(spark, folder).select("doc_id", F.explode(extract.message_names("text")).alias("message"))
@@ -226,7 +226,14 @@ def e30_query_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("q", F.array_join("a", "|").alias("anchors"))
 
 
-@query()
+@query(rf"""with q as ({_QUERY}), raw as (select q, regexp_extract_all(q, '\b[A-Za-z][A-Za-z0-9\-]{{1,}}\b') as raw from q),
+    a as (
+      select q, unnest(regexp_extract_all(q, '\b[A-Z][A-Z0-9\-]{{1,}}\b')) as a from q
+      union select q, raw[i] || array_to_string(list_transform(raw[i + 1 : i + n - 1], lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') from (select q, raw, n, unnest(range(1, len(raw) - n + 2)) as i from raw, (select unnest([2, 3]) as n))
+      where regexp_matches(raw[i], '[0-9]') and len(list_filter(raw[i + 1 : i + n - 1], lambda w: lower(w) in {words(QUERY_STOPWORDS)})) = 0),
+    s as (select q, string_agg(a, '|' order by a) as aliases from a where lower(a) not in {words(QUERY_STOPWORDS)} group by q)
+    select q, coalesce(aliases, '') as aliases,
+      array_to_string(list_sort(list_distinct(list_filter([lower(q), regexp_replace(lower(q), '([a-z]\d)([a-z]\d)', '\1 \2', 'g')], lambda v: v <> ''))), '|') as variants from q left join s using (q)""")
 def e28_e31_query_analysis(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder).select("q", F.array_join(extract.query_aliases("q"), "|").alias("aliases"), F.array_join(extract.query_variants("q"), "|").alias("variants"))
 
@@ -293,7 +300,15 @@ def a9_table_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.tables(table(spark, folder, "clauses")).select("row_id", "block_no", F.md5(arrays.table_markdown("matrix")).alias("markdown"))
 
 
-@query()
+@query(rf"""with {_TABLES}, t as (select t.*, coalesce(c.clause_title, '') as title from tab t join clauses c using (row_id)),
+    r as (select row_id, block_no, m, unnest(m) as r, generate_subscripts(m, 1) as n from t),
+    c as (select row_id, block_no, n, i, {ws("coalesce(r[i], '')")} as v, coalesce(nullif(trim(coalesce(m[1][i], '')), ''), 'column_' || i) as h from (select *, unnest(range(1, len(r) + 1)) as i from r where n > 1)),
+    k as (select *, lag({fp('v')}) over (partition by row_id, block_no, n order by i) as before from c where v <> ''),
+    l as (select row_id, block_no, n, 'row ' || (n - 1) || ': ' || string_agg(h || ': ' || v, '; ' order by i) as line from k where before is null or before <> {fp('v')} group by row_id, block_no, n),
+    b as (select row_id, block_no, string_agg(line, chr(10) order by n) as body from l group by all),
+    o as (select row_id, block_no, case when title <> '' then 'Table ' || title end as name,
+                 case when len(m) = 1 then array_to_string(list_filter(list_transform(m[1], lambda v: {ws("coalesce(v, '')")}), lambda v: v <> ''), '; ') end as head from t)
+    select row_id, block_no, array_to_string(list_filter([name, head, body], lambda v: v is not null), chr(10)) as lines from o left join b using (row_id, block_no)""")
 def a8_table_texts(spark: SparkSession, folder: str) -> DataFrame:
     return enrich.tables(table(spark, folder, "clauses")).select("row_id", "block_no", arrays.table_text("clause_title", "matrix").alias("lines"))
 

@@ -12,9 +12,10 @@ from quillstone.functions import embeddings
 from quillstone.functions.text import spec_number
 from quillstone.lineage import cut
 from quillstone.operators import aggregate, enrich, evaluate, hops, search, select, trees
+from quillstone.operators import queries as asking
 from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import ENRICHED_PROFILES, GENERIC_ANCHOR_TERMS, PROFILES
-from quillstone.plans.aggregates import _COUNTED, _clauses, _enriched, _registry_sql
+from quillstone.plans.aggregates import _COUNTED, REGISTRY, _clauses, _enriched, _registry_sql
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
 from quillstone.plans.registry import CORPUS, Registry, camel, words
 from quillstone.sources import records as record_files
@@ -35,7 +36,8 @@ TERMS = ["paging window", "tunnel setup request", "handling", "PSF"]
     select doc_id, round(s::double, 3) as score from s where s > 0""")
 def r1_lexical_scores(spark: SparkSession, folder: str) -> DataFrame:
     texts = [F.col(c) for c in ("spec_no", "clause_title", "row_header", "text")] + [F.array_join("row_cells", " ")]
-    scored = _enriched(spark, folder).select("doc_id", F.round(search.lexical_score(TERMS, texts, F.array_join("anchor_terms", " ")), 3).alias("score"))
+    wanted = _enriched(spark, folder, "doc_id", "spec_no", "clause_title", "row_header", "text", "row_cells", "anchor_terms")
+    scored = wanted.select("doc_id", F.round(search.lexical_score(TERMS, texts, F.array_join("anchor_terms", " ")), 3).alias("score"))
     return scored.filter("score > 0")
 
 
@@ -56,7 +58,8 @@ def _tier(t: str) -> str:
     s as (select doc_id, round({' + '.join(_tier(t.lower()) for t in [*TERMS, TERMS[0]])}, 3) as score from c)
     select * from s where score > 0""")
 def r2_tiered_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _enriched(spark, folder).select("doc_id", search.tiered_score([*TERMS, TERMS[0]]).alias("score")).filter("score > 0")
+    tiers = ["clause_title", "row_header", "ie_names", "message_names", "procedure_names", "anchor_terms", "text"]
+    return _enriched(spark, folder, "doc_id", *tiers).select("doc_id", search.tiered_score([*TERMS, TERMS[0]]).alias("score")).filter("score > 0")
 
 
 _NEEDLES = [*TERMS, *QUERY.split()]
@@ -191,7 +194,7 @@ def _entry(t: str) -> str:
     t as (select spec_no, sum(s::double) as s from u group by spec_no having sum(s) > 0)
     select spec_no, round(s + case when list_has_any(st, ['Stage 2']) then 1.5 else 0 end + 1e-7, 3) as score from t left join ss using (spec_no) order by score desc, spec_no limit 20""")
 def r8_entry_specs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _enriched(spark, folder)
+    rows = _enriched(spark, folder, *REGISTRY, "stage_hint")
     named = table(spark, folder, "specs").filter("spec_title is not null").groupBy(spec_number("spec_no").alias("spec_no")).agg(F.min_by("spec_title", "row_id").alias("title"))
     titles = aggregate.top_values(rows.filter("clause_title <> ''"), "spec_no", "clause_title", 16)
     return search.entry_specs(aggregate.term_registry(rows, []), titles, named, aggregate.spec_stages(rows), QUERY, ["paging", "tunnel"], TERMS, ["Stage 2"], 20)
@@ -226,24 +229,33 @@ def b1_o4_found_posts(spark: SparkSession, folder: str) -> DataFrame:
     return select.found_posts(posts, " Paging ").select("post_id")
 
 
+def _asked(rows: DataFrame) -> list[str]:
+    """The terms that the analysis of ``QUERY`` finds, which a hop begins with."""
+    return asking.Asked.of(rows, QUERY).terms()
+
+
 @query()
 def m1_two_phase(spark: SparkSession, folder: str) -> DataFrame:
-    return hops.two_phase(_enriched(spark, folder), TERMS)
+    rows = _enriched(spark, folder)
+    return hops.two_phase(rows, _asked(rows))
 
 
 @query()
 def m2_multi_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return hops.multi_hop(_enriched(spark, folder), QUERY, TERMS)
+    rows = _enriched(spark, folder)
+    return hops.multi_hop(rows, QUERY, _asked(rows))
 
 
 @query()
 def m3_centred(spark: SparkSession, folder: str) -> DataFrame:
-    return hops.centred(_enriched(spark, folder), QUERY, TERMS, ["Stage 2", "Stage 3", "else"])
+    rows = _enriched(spark, folder)
+    return hops.centred(rows, QUERY, _asked(rows), ["Stage 2", "Stage 3", "else"])
 
 
 @query()
 def m4_m6_m7_iterative(spark: SparkSession, folder: str) -> DataFrame:
-    return hops.iterative(_enriched(spark, folder), TERMS)
+    rows = _enriched(spark, folder)
+    return hops.iterative(rows, _asked(rows))
 
 
 # --- hierarchy -------------------------------------------------------------------------------------------------------
@@ -345,7 +357,7 @@ def k2_k4_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def k7_registry_json(spark: SparkSession, folder: str) -> DataFrame:
-    return record_files.registry_json(aggregate.term_registry(_enriched(spark, folder), []))
+    return record_files.registry_json(aggregate.term_registry(_enriched(spark, folder, *REGISTRY), []))
 
 
 @query()

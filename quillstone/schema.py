@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 # The columns of a record by type.
-STRINGS = (
-    "doc_id doc_type content_kind spec_no spec_title release release_data series ts_or_tr stage_hint clause_id clause_title parent_clause_id text summary "
-    "source_file table_title version_tag embedding_text embedding_model table_id row_header table_markdown passage_id entity_type entity_name source_doc_id"
-).split()
-STRING_ARRAYS = (
-    "clause_path keywords anchor_terms ie_names message_names procedure_names table_headers acronyms camel_case_identifiers referenced_specs referenced_clauses domain_hint row_cells"
-).split()
+STRINGS = [
+    "doc_id", "doc_type", "content_kind", "spec_no", "spec_title", "release", "release_data", "series", "ts_or_tr", "stage_hint", "clause_id",
+    "clause_title", "parent_clause_id", "text", "summary", "source_file", "table_title", "version_tag", "embedding_text", "embedding_model",
+    "table_id", "row_header", "table_markdown", "passage_id", "entity_type", "entity_name", "source_doc_id",
+]
+STRING_ARRAYS = [
+    "clause_path", "keywords", "anchor_terms", "ie_names", "message_names", "procedure_names", "table_headers", "acronyms", "camel_case_identifiers",
+    "referenced_specs", "referenced_clauses", "domain_hint", "row_cells",
+]
 ZEROS = ["order_in_source", "embedding_dim"]
 UNSET = ["row_index", "passage_index", "paragraph_start_index", "paragraph_end_index"]
 
