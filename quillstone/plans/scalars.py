@@ -74,7 +74,14 @@ def x13_packed_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "clauses").select("row_id", F.posexplode(text.packed_paragraphs("text", 1200)).alias("piece_no", "piece"))
 
 
-@query()
+_BARE = "p_name || ' ; ' || p_name || ' ; ' || p_brand"
+_REDUNDANT = f"length({fp('p_type')}) >= 3 and contains({fp(_BARE)}, {fp('p_type')})"
+_CELL = "p_name || ' [' || p_type || '] ; ' || p_name || ' [' || p_type || '] ; ' || p_brand"
+
+
+@query(f"""select p_partkey, {ws("p_name || ' [' || p_type || '] ; ' || p_name || ' ; ' || p_brand")} as brackets, case when {_REDUNDANT} then {ws(_BARE)} else {ws(_CELL)} end as redundant,
+    {ws("p_name || ' [' || p_type || ']'")} || '; ' || {ws('p_brand')} as items,
+    case when {_REDUNDANT} then {ws('p_name')} || '; ' || {ws('p_brand')} else {ws("p_name || ' [' || p_type || ']'")} || '; ' || {ws('p_name')} || '; ' || {ws('p_brand')} end as cell from part""")
 def x18_x19_x20_x21_x22_cells(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     cell = F.concat("p_name", F.lit(" ["), "p_type", F.lit("] ; "), "p_name", F.lit(" ["), "p_type", F.lit("] ; "), "p_brand")

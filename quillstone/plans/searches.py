@@ -17,7 +17,7 @@ from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import ENRICHED_PROFILES, GENERIC_ANCHOR_TERMS, PROFILES
 from quillstone.plans.aggregates import _COUNTED, REGISTRY, _clauses, _enriched, _registry_sql
 from quillstone.plans.record_sql import ANCHOR_ROWS, ENRICHED
-from quillstone.plans.registry import CORPUS, Registry, camel, words
+from quillstone.plans.registry import CORPUS, Registry, camel, strip, words
 from quillstone.sources import records as record_files
 from quillstone.sources.corpus import corpus
 from quillstone.sources.tables import DOCUMENT, current_records, table
@@ -127,7 +127,37 @@ def r10_o1_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25(corpus(spark, folder), _questions(spark, folder), PROFILES["bm25"], 10).select("query_id", "place", "score")
 
 
-@query()
+_WEIGHT = """case when lower(trim(clause_title)) = 'front_matter' then 0.2 when doc_type in ('clause_doc', 'passage_doc') and lower(trim(clause_title)) = 'references' then 0.35
+      when doc_type in ('clause_doc', 'passage_doc') and lower(trim(clause_title)) in ('foreword', 'contents', 'scope') then 0.55
+      when doc_type = 'table_row_doc' then 1.35 when doc_type = 'table_doc' then 1.15 when doc_type = 'passage_doc' then 1.1 else 1.0 end::double"""
+_LISTED = {"anchor_terms": "select doc_id, term, pos from anchors", **{f"{k}s": f"select doc_id, term, pos from terms where kind = '{k}'" for k in ("ie_name", "message_name", "procedure_name")}}
+
+
+def _profiles_sql(profiles: dict[str, dict[str, float]]) -> str:
+    """CTEs: enriched records, and ps (profile, query_id, doc_id, score) of every match."""
+    names = list(dict.fromkeys(f for p in profiles.values() for f in p))
+    listed = lambda f: f"(select doc_id, string_agg(term, ' ' order by pos) as v from ({_LISTED[f]}) group by doc_id)"
+    source = lambda f: f"select doc_id, '{f}' as field, coalesce(v, '') as v from corpus left join {listed(f)} using (doc_id)" if f in _LISTED else f"select doc_id, '{f}' as field, {f} as v from corpus"
+    weights = ", ".join(f"('{p}', '{f}', {w}::double)" for p, fs in profiles.items() for f, w in fs.items())
+    return f"""{ENRICHED}, wide as ({' union all '.join(map(source, names))}),
+    fld as materialized (select doc_id, field, list_filter(regexp_split_to_array(lower(v), '[^A-Za-z0-9]+'), lambda t: t <> '') as ts from wide),
+    av as (select field, avg(len(ts)) as average, count(*) as n from fld group by field), rw as (select doc_id, {_WEIGHT} as counts from corpus), pw(profile, field, w) as (values {weights}),
+    q as materialized (select query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^A-Za-z0-9]+'), lambda t: t <> ''))) as token from (select row_id as query_id, clause_title as query from corpus where row_id % 100 = 0)),
+    po as materialized (select token, field, doc_id, dl, count(*) as tf from (select doc_id, field, len(ts) as dl, unnest(ts) as token from fld) where token in (select token from q) group by all),
+    df as (select token, field, count(*) as df from po group by all),
+    bt as materialized (select profile, token, doc_id, sum(counts * w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))) as part
+      from po join df using (token, field) join av using (field) join pw using (field) join rw using (doc_id) group by all),
+    ps as materialized (select profile, query_id, doc_id, round(sum(part), 6) as score from q join bt using (token) group by all)"""
+
+
+_UNITS = """v as (select doc_id, row_id, list_transform(dense_vector, lambda x: x::double) as v from (
+      select * from records where doc_id is not null qualify row_number() over (partition by doc_id order by indexed_at desc nulls last, row_id desc) = 1)
+      where len(dense_vector) = 64 and len(list_filter(dense_vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(dense_vector, lambda x: x <> 0)) > 0)"""
+_CLOSE = "case when d.v is null or a.v is null then 0 else 1 / (1 + acos(greatest(least(list_cosine_similarity(d.v, a.v), 1), -1))) end"
+
+
+@query(f"""with {_profiles_sql(ENRICHED_PROFILES)}
+    select profile, query_id, cast(row_number() over (partition by profile, query_id order by score desc, doc_id) as integer) as place, doc_id, score from ps qualify place <= 10""")
 def r10_r11_enriched_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The profiles with their extracted fields and the records' weights; ``r10_o1_bm25`` ranks by plain fields alone."""
     scores = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), ENRICHED_PROFILES)
@@ -158,10 +188,12 @@ def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return rows, rows.filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "unit")
 
 
-@query()
+@query(f"""with {_profiles_sql({search.SINGLE.profile: search.SINGLE.weights()})}, {_UNITS},
+    h as (select query_id, ps.doc_id, round(score * {search.SINGLE.sparse} + {_CLOSE} * 9 * {search.SINGLE.vector}, 4) as score from ps left join v d on d.doc_id = ps.doc_id left join v a on a.row_id = ps.query_id)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as place, doc_id, score from h qualify place <= 10""")
 def r11_r12_r13_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Every lexical match of each question, ranked by BM25 and closeness together."""
-    ranking = search.Ranking()
+    ranking = search.SINGLE
     sparse = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), {ranking.profile: ranking.weights()})
     boosts = {"sparse": F.lit(ranking.sparse), "vector": F.lit(ranking.vector)}
     return search.hybrid(sparse.withColumns(boosts), *_hybrid_vectors(spark, folder), ["query_id"], 10).select("query_id", "place", "doc_id", "score")
@@ -234,19 +266,90 @@ def _asked(rows: DataFrame) -> list[str]:
     return asking.Asked.of(rows, QUERY).terms()
 
 
-@query()
+def _phrases(words_of: list[str]) -> list[str]:
+    """The words, their runs of two to six, and all of them, in lower case: what the analysis makes of ``QUERY``, none of whose words is dropped."""
+    runs = [" ".join(words_of[i : i + n]) for n in range(1, 7) for i in range(len(words_of) - n + 1)]
+    return [r.lower() for r in [*runs, " ".join(words_of)]]
+
+
+_TITLE_WORDS = f"string_split({camel('lower(clause_title)')}, ' ')"
+#: The tier of a row of ``c`` for its column ``term``.
+_TERM_TIER = f"""greatest(case when clause_title <> '' and term = lower(clause_title) then 14 when length(term) >= 5 and contains(lower(clause_title), term) then 8
+      else case when len(list_filter(string_split({camel('term')}, ' '), lambda w: w <> '' and list_contains({_TITLE_WORDS}, w))) >= 2
+                then 2.5 + 1.3 * len(list_filter(string_split({camel('term')}, ' '), lambda w: w <> '' and list_contains({_TITLE_WORDS}, w))) else 0 end end,
+      {', '.join(f'case when length(term) >= 4 and contains({c}, term) then {v} else 0 end' for c, v in (('lower(row_header)', 4), ('ie', 5), ('msg', 5.5), ('proc', 5), ('anc', 3), ('lower(text)', 1)))})::double"""
+_NAMES = """k as (select doc_id, lower(string_agg(term, ' ' order by pos) filter (kind = 'ie_name')) as ie, lower(string_agg(term, ' ' order by pos) filter (kind = 'message_name')) as msg,
+      lower(string_agg(term, ' ' order by pos) filter (kind = 'procedure_name')) as proc from terms group by doc_id),
+    a as (select doc_id, lower(string_agg(term, ' ' order by pos)) as anc from anchors group by doc_id),
+    c as materialized (select corpus.*, coalesce(ie, '') as ie, coalesce(msg, '') as msg, coalesce(proc, '') as proc, coalesce(anc, '') as anc from corpus left join k using (doc_id) left join a using (doc_id))"""
+_WHOLE = "lower(concat_ws(' ', clause_title, row_header, text, array_to_string(row_cells, ' '))) || ' ' || anc"
+
+
+@query(f"""with {ENRICHED}, {_NAMES}, qt as (select unnest({_phrases(QUERY.split())}) as term),
+    direct as materialized (select doc_id, spec_no, doc_type, sum(1.0 + case when contains(anc, term) then 0.3 else 0 end)::double as score
+      from c join qt on contains(lower(concat_ws(' ', spec_no, clause_title, row_header, text, array_to_string(row_cells, ' '))), term) group by all),
+    seed as (select doc_id from direct order by round(score, 6) desc, doc_id limit 10),
+    sg as (select term as t, 'strong_anchor' as r, 2.0 as w from anchors semi join seed using (doc_id) union all select unnest(referenced_specs), 'referenced_spec', 1.5 from corpus semi join seed using (doc_id)
+      union all select unnest(referenced_clauses), 'referenced_clause', 1.0 from corpus semi join seed using (doc_id) union all select row_header, 'row_header', 1.1 from corpus semi join seed using (doc_id)
+      union all select word, 'keyword', 0.6 from kw semi join seed using (doc_id) where place <= 5),
+    sc as (select t, round(sum(w::double) - case when lower(t) in {words(aggregate.GENERIC_SIGNALS)} then 1.5 else 0 end, 6) as s from sg where trim(t) <> '' group by t),
+    more as (select lower(t) as term from sc where s >= 1.5 order by round(s, 3) desc, t limit 10),
+    found as (select doc_id, spec_no, {_TERM_TIER} as score from c join more on contains({_WHOLE}, term)),
+    hits as (select doc_id, spec_no, score, case when doc_type = 'table_row_doc' then 'table_row_hit' else 'direct_hit' end as reason_type from direct union all select doc_id, spec_no, score, 'anchor_hit' from found where score > 0),
+    one as (select *, score * case reason_type when 'direct_hit' then 3.0 when 'anchor_hit' then 2.0 else 1.8 end::double as s, case when {strip('spec_no')} = '' then 'unknown' else {strip('spec_no')} end as spec from hits
+      qualify row_number() over (partition by doc_id order by score desc, reason_type) = 1),
+    b as (select spec, sum(s / power(i, 0.8)) as blend from (select spec, s, row_number() over (partition by spec order by s desc) as i from one) where i <= 5 group by spec),
+    d as (select spec, count(distinct doc_id) as doc_count, count(distinct reason_type) as reasons from one group by spec)
+    select spec as spec_no, round(blend + 0.35 * ln(1 + doc_count) + 0.45 * (reasons - 1), 3) as score, doc_count from b join d using (spec)""")
 def m1_two_phase(spark: SparkSession, folder: str) -> DataFrame:
     rows = _enriched(spark, folder)
     return hops.two_phase(rows, _asked(rows))
 
 
-@query()
+_FOUND = list(dict.fromkeys(_phrases(QUERY.split())))
+_ASKING = [*_FOUND, *(w.lower() for w in QUERY.split())]
+_EXACT_ASKED = "greatest(" + ", ".join(f"case when lower(trim(clause_title)) = '{n}' then 2 when {len(n) >= 5} and contains(lower(trim(clause_title)), '{n}') then 1 else 0 end" for n in _ASKING) + ")"
+#: CTE: scored anchors (anchor, score) of the rows of ``seed`` (doc_id).
+_SEED_ANCHORS = rf"""sa as (select arg_min(anchor, (row_id, place)) as anchor, list(distinct source) as sources, count(distinct doc_id) as docs, count(distinct nullif(spec_no, '')) as specs
+      from anchor_rows semi join seed using (doc_id) group by lower(anchor)),
+    so as (select *, {_OVERLAP('anchor')} as overlap, len(regexp_split_to_array(trim(anchor), '\s+')) as n from sa),
+    ss as (select anchor, round((list_sum(list_transform(sources, lambda k: case k when 'ie_name' then 2.5 when 'message_name' then 2.5 when 'procedure_name' then 1.8 when 'table' then 1.5 when 'spec_reference' then 1.4 when 'clause_title' then 1.2 else 1.0 end::double))
+      + 0.2 * docs + 0.4 * greatest(specs - 1, 0) + 0.8 * overlap
+      - case when lower(trim(anchor)) in {words(GENERIC_ANCHOR_TERMS)} then 3.0 else 0 end - case when regexp_matches(trim(anchor), '^\d+$') then 2.4 else 0 end - case when n >= 8 then 2.2 else 0 end
+      - case when list_contains(sources, 'procedure_name') and n >= 6 then 1.6 else 0 end - case when list_contains(sources, 'acronym') and length(trim(anchor)) <= 4 then 1.8 else 0 end
+      - case when regexp_matches(lower(anchor), 'this request') then 2.5 else 0 end)::double, 3) as score from so where overlap > 0 or list_contains(sources, 'clause_title')),
+    more as (select lower(anchor) as term, score as boost from ss where score > 0 order by score desc, lower(anchor), anchor limit 8)"""
+_MERGED = f"""mc as (select spec_no || ':' || coalesce(nullif(clause_id, ''), doc_id) as key, max(score) as s, array_to_string(list_sort(list(distinct doc_id)), '|') as doc_ids,
+      array_to_string(list_sort(list(distinct reason_type)), '|') as reasons, arg_min(clause_title, doc_id) as title from hits group by 1)
+    select key, round(s + 1.2 * {_OVERLAP('title')} - case when lower(trim(title)) in {words(GENERIC_TITLES)} then 6 else 0 end, 3)::double as score, doc_ids, reasons, title from mc"""
+
+
+@query(f"""with {ENRICHED}, {ANCHOR_ROWS}, {_NAMES},
+    kl as (select doc_id, list(term) filter (kind = 'ie_name') as ies, list(term) filter (kind = 'message_name') as msgs, list(term) filter (kind = 'procedure_name') as procs from terms group by doc_id),
+    r as materialized (select *, round({' + '.join(_tier(t) for t in _FOUND)}, 3) as retrieved from c),
+    top as (select r.*, coalesce(ies, []) as ies, coalesce(msgs, []) as msgs, coalesce(procs, []) as procs from r left join kl using (doc_id) where retrieved > 0 order by retrieved desc, doc_id limit 20),
+    rel as (select *, round(round(4.8 * {_EXACT_ASKED}, 3) + round(1.8 * {_any('[clause_title]', _ASKING)}, 3) + round(2.2 * {_any('ies', _FOUND)}, 3) + round(2.2 * {_any('msgs', _FOUND)}, 3) + round(1.8 * {_any('procs', _FOUND)}, 3)
+      + round(1.5 * {_any('[row_header]', _FOUND)}, 3) + round(1.2 * {_any('row_cells', _FOUND)}, 3) + round(1.4 * retrieved, 3), 3)::double as score from top),
+    seed as materialized (select doc_id, spec_no, clause_id, clause_title, score from rel where score > 0 order by retrieved desc, doc_id limit 10),
+    {_SEED_ANCHORS},
+    hop as (select doc_id, spec_no, clause_id, clause_title, {_TERM_TIER} as tier, boost from c join more on contains({_WHOLE}, term)),
+    hits as (select *, 'direct_hit' as reason_type from seed union all select doc_id, spec_no, clause_id, clause_title, tier + boost, 'anchor_hit' from hop where tier > 0),
+    {_MERGED}""")
 def m2_multi_hop(spark: SparkSession, folder: str) -> DataFrame:
     rows = _enriched(spark, folder)
     return hops.multi_hop(rows, QUERY, _asked(rows))
 
 
-@query()
+@query(f"""with {ENRICHED}, {ANCHOR_ROWS}, {_NAMES},
+    r as materialized (select *, round({' + '.join(_tier(t) for t in _FOUND)}, 3) as retrieved from c),
+    st as (select * from r where retrieved > 0 and stage_hint in ('Stage 2', 'Stage 3', 'else') qualify row_number() over (partition by stage_hint order by retrieved desc, doc_id) <= 30),
+    seed as materialized (select doc_id, spec_no, clause_id, clause_title, retrieved as score from st order by retrieved desc, doc_id limit 10),
+    sup as (select spec_no from seed group by spec_no order by count(*) desc, spec_no limit 8),
+    {_SEED_ANCHORS},
+    hop as (select doc_id, spec_no, clause_id, clause_title, term, boost, {_TERM_TIER} as tier from c join more on contains({_WHOLE}, term) where spec_no in (select spec_no from sup)),
+    hb as (select doc_id, spec_no, clause_id, clause_title, tier + boost as score from hop where tier > 0 qualify row_number() over (partition by doc_id order by tier + boost desc, term) = 1 order by score desc, doc_id limit 10),
+    hits as (select *, 'seed' as reason_type from seed union all select *, 'anchor_hit' from hb),
+    {_MERGED}""")
 def m3_centred(spark: SparkSession, folder: str) -> DataFrame:
     rows = _enriched(spark, folder)
     return hops.centred(rows, QUERY, _asked(rows), ["Stage 2", "Stage 3", "else"])
@@ -334,7 +437,17 @@ def y1_y2_y3_j13_metrics(spark: SparkSession, folder: str) -> DataFrame:
 SWEEP = [(p, sparse, vector) for p in ENRICHED_PROFILES for sparse, vector in ((1.0, 0.0), (0.0, 1.0), (0.45, 1.0))]
 
 
-@query()
+@query(f"""with {_profiles_sql(ENRICHED_PROFILES)}, {_UNITS}, sw(sweep, profile, sparse, vector) as (values {', '.join(f"('{p}:{s}:{v}', '{p}', {s}::double, {v}::double)" for p, s, v in SWEEP)}),
+    h as (select sweep, query_id, ps.doc_id, round(score * sparse + {_CLOSE} * 9 * vector, 4) as score from ps join sw using (profile) left join v d on d.doc_id = ps.doc_id left join v a on a.row_id = ps.query_id),
+    top as materialized (select *, row_number() over (partition by sweep, query_id order by score desc, doc_id) as place from h qualify place <= 10),
+    w as (select distinct c.row_id as query_id, d.doc_id from corpus c join corpus d on lower(c.clause_title) = lower(d.clause_title) where c.row_id % 100 = 0 and c.clause_title <> ''),
+    nr as (select query_id, count(*) as n from w group by query_id),
+    f as (select sweep, query_id, min(place) as first, sum(case when place <= 5 then 1 / log2(place + 1) else 0 end) as d5, sum(1 / log2(place + 1)) as d10 from top semi join w using (query_id, doc_id) group by all),
+    i as (select k, sum(1 / log2(j + 1)) as ideal from (select unnest(range(1, 11)) as k), (select unnest(range(1, 11)) as j) where j <= k group by k),
+    m as (select s.sweep, query_id, round(coalesce(1 / first, 0), 6)::double as rr, coalesce((first <= 5)::int, 0)::double as recall_5, coalesce((first <= 10)::int, 0)::double as recall_10,
+      round(coalesce(d5 / i5.ideal, 0), 6) as ndcg_5, round(coalesce(d10 / i10.ideal, 0), 6) as ndcg_10
+      from (select sweep from sw) s cross join nr left join f using (sweep, query_id) join i i5 on i5.k = least(n, 5) join i i10 on i10.k = least(n, 10))
+    select sweep as profile, count(*) as queries, round(avg(rr), 4) as rr, round(avg(recall_5), 4) as recall_5, round(avg(recall_10), 4) as recall_10, round(avg(ndcg_5), 4) as ndcg_5, round(avg(ndcg_10), 4) as ndcg_10 from m group by sweep""")
 def y4_g15_profile_sweep(spark: SparkSession, folder: str) -> DataFrame:
     rows = _enriched(spark, folder)
     sweep = spark.createDataFrame([(f"{p}:{s}:{v}", p, s, v) for p, s, v in SWEEP], "sweep string, profile string, sparse double, vector double")
@@ -349,13 +462,15 @@ def y4_g15_profile_sweep(spark: SparkSession, folder: str) -> DataFrame:
 # --- sinks and embeddings ----------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""with {CORPUS} select to_json({{'put': 'id:clauses:record::' || doc_id, 'fields': {{'doc_id': doc_id, 'doc_type': doc_type, 'content_kind': content_kind, 'spec_no': spec_no, 'release': release, 'release_data': release_data,
+    'stage_hint': stage_hint, 'clause_id': clause_id, 'clause_title': clause_title, 'row_header': row_header, 'row_cells': row_cells,
+    'text': case when content_kind = 'table_row' then coalesce(nullif(text, ''), array_to_string(row_cells, '; ')) else text end}}}})::varchar as value from corpus""")
 def k2_k4_feed(spark: SparkSession, folder: str) -> DataFrame:
     fields = ["doc_id", "doc_type", "content_kind", "spec_no", "release", "release_data", "stage_hint", "clause_id", "clause_title", "row_header", "row_cells"]
     return record_files.feed(corpus(spark, folder), "clauses", "record", fields, enrich.searchable_text())
 
 
-@query()
+@query(f"""{_registry_sql('').replace('with ', 'with reg as (with ', 1)}) select spec_no, to_json(map_from_entries(list((term, score) order by term)))::varchar as terms from reg group by spec_no""")
 def k7_registry_json(spark: SparkSession, folder: str) -> DataFrame:
     return record_files.registry_json(aggregate.term_registry(_enriched(spark, folder, *REGISTRY), []))
 
