@@ -6,6 +6,7 @@ Many queries at once go through token postings, joined on the token.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC, overlap_tokens
+from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC, once, overlap_tokens
 from quillstone.functions.text import anchor_term, col
 from quillstone.operators.aggregate import looked_up
 from quillstone.operators.select import distinct_words
@@ -71,11 +72,16 @@ def _joined(c: str) -> Column:
     return F.lower(F.array_join(F.col(c), " "))
 
 
+def _literals(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def lexical_score(terms: Sequence[str], texts: Sequence[Column], anchors: Column) -> Column:
     """1 for each distinct term that the texts hold, and 0.3 more if the anchors hold it."""
-    whole, named = F.lower(F.concat_ws(" ", *texts)), F.lower(anchors)
-    low = list(dict.fromkeys(t.lower() for t in distinct_words(terms)))
-    return _sum([F.when(F.contains(whole, F.lit(t)), 1.0 + F.when(F.contains(named, F.lit(t)), 0.3).otherwise(0.0)).otherwise(0.0) for t in low])
+    low = _literals(list(dict.fromkeys(t.lower() for t in distinct_words(terms))))
+    held = F.struct(F.lower(F.concat_ws(" ", *texts)).alias("whole"), F.lower(anchors).alias("named"))
+    one = lambda r, t: F.when(F.contains(r["whole"], t), 1.0 + F.when(F.contains(r["named"], t), 0.3).otherwise(0.0)).otherwise(0.0)
+    return once(held, lambda r: F.aggregate(low, F.lit(0.0), lambda total, t: total + one(r, t)))
 
 
 def matched_terms(terms: Sequence[str], texts: Sequence[Column], most: int = 5) -> Column:
@@ -84,46 +90,58 @@ def matched_terms(terms: Sequence[str], texts: Sequence[Column], most: int = 5)
     return F.array_join(F.slice(F.array_compact(F.array(*found)), 1, most), ", ")
 
 
-def title_overlap(term: str | Column, title: Column | str) -> Column:
-    """2.5 and 1.3 per shared word if a term and a title share at least two words."""
-    mine = F.filter(F.split(anchor_term(F.lit(term) if isinstance(term, str) else term), " "), lambda t: t != "")
-    words = F.split(anchor_term(title), " ")
-    shared = F.size(F.filter(mine, lambda t: F.array_contains(words, t)))
-    return F.when(shared >= 2, 2.5 + 1.3 * shared).otherwise(0.0)
+def _tiers() -> Column:
+    """What the tiers of a record of ``enriched`` are looked up in, found once however many terms ask."""
+    return F.struct(
+        F.lower("clause_title").alias("title"), F.split(anchor_term(F.lower("clause_title")), " ").alias("words"), F.lower("row_header").alias("row"), F.lower("text").alias("text"),
+        *[_joined(c).alias(c) for c in ("ie_names", "message_names", "procedure_names", "anchor_terms")],
+    )
+
+
+def _tier(r: Column, term: Column, words: Column) -> Column:
+    """The best tier in which a record holds the term: title, row header, names, anchors, text; or 2.5 and 1.3 per word shared
+    with the title from two words on."""
+    long = F.length(term) >= 4
+    held = lambda name, value: F.when(long & F.contains(r[name], term), value).otherwise(0.0)
+    shared = F.size(F.filter(words, lambda w: F.array_contains(r["words"], w)))
+    by_title = (
+        F.when((r["title"] != "") & (term == r["title"]), 14.0).when((F.length(term) >= 5) & F.contains(r["title"], term), 8.0)
+        .when(shared >= 2, 2.5 + 1.3 * shared).otherwise(0.0)
+    )
+    names = {"row": 4.0, "ie_names": 5.0, "message_names": 5.5, "procedure_names": 5.0, "anchor_terms": 3.0, "text": 1.0}
+    return F.when(term != "", F.greatest(by_title, *[held(n, v) for n, v in names.items()])).otherwise(0.0)
 
 
 def term_tier(term: Column) -> Column:
-    """The best tier in which a record of ``enriched`` holds the term: title, row header, names, anchors, text."""
-    title, long = F.lower("clause_title"), F.length(term) >= 4
-    tier = lambda text, value, when: F.when(when & F.contains(text, term), value).otherwise(0.0)
-    by_title = F.when((title != "") & (term == title), 14.0).when((F.length(term) >= 5) & F.contains(title, term), 8.0).otherwise(title_overlap(term, title))
-    return F.when(term != "", F.greatest(
-        by_title, tier(F.lower("row_header"), 4.0, long), tier(_joined("ie_names"), 5.0, long), tier(_joined("message_names"), 5.5, long),
-        tier(_joined("procedure_names"), 5.0, long), tier(_joined("anchor_terms"), 3.0, long), tier(F.lower("text"), 1.0, long),
-    )).otherwise(0.0)
+    """The tier of one term, in lower case, in a record of ``enriched``."""
+    asked = F.struct(term.alias("t"), F.filter(F.split(anchor_term(term), " "), lambda w: w != "").alias("w"), _tiers().alias("r"))
+    return once(asked, lambda x: _tier(x["r"], x["t"], x["w"]))
 
 
 def tiered_score(terms: Sequence[str]) -> Column:
     """Sum of the tiers of all terms; a term given twice counts twice."""
-    return F.round(_sum([term_tier(F.lit(t.lower().strip())) for t in terms if t.strip()]), 3)
+    low = [t.lower().strip() for t in terms if t.strip()]
+    if not low:
+        return F.lit(0.0)
+    asked = F.array(*[F.struct(F.lit(t).alias("t"), _literals(re.sub("[_/]+", " ", t).split()).alias("w")) for t in low])
+    return F.round(once(_tiers(), lambda r: F.aggregate(asked, F.lit(0.0), lambda total, x: total + _tier(r, x["t"], x["w"]))), 3)
 
 
 def _held(needles: Sequence[str], texts: Column) -> Column:
     """How many needles occur in one of the texts."""
     low = F.filter(F.transform(texts, lambda t: F.lower(F.coalesce(t, F.lit("")))), lambda t: t != "")
-
-    def held(needle: str) -> Column:
-        return F.when(F.exists(low, lambda h: F.contains(h, F.lit(needle))), 1.0).otherwise(0.0)
-
-    return _sum([held(n.strip().lower()) for n in needles if n.strip()])
+    asked = _literals([n.strip().lower() for n in needles if n.strip()])
+    return once(low, lambda held: F.size(F.filter(asked, lambda n: F.exists(held, lambda h: F.contains(h, n)))).cast("double"))
 
 
 def relevance_signals(anchors: Sequence[str], tokens: Sequence[str], specs: Sequence[str], similarity: Column | None = None) -> dict[str, Column]:
     """The signals of a record of ``structured_terms`` for a query's anchors, tokens and specifications."""
-    every, title = [*anchors, *tokens], F.lower(F.trim("clause_title"))
-    exact = [F.when(title == n.strip().lower(), 2.0).when(F.contains(title, F.lit(n.strip().lower())) & F.lit(len(n.strip()) >= 5), 1.0).otherwise(0.0) for n in every if n.strip()]
+    every = [*anchors, *tokens]
+    low = _literals([n.strip().lower() for n in every if n.strip()])
+    level = lambda title, n: F.when(title == n, 2.0).when((F.length(n) >= 5) & F.contains(title, n), 1.0).otherwise(0.0)
+    exact = once(F.lower(F.trim("clause_title")), lambda title: F.when(title != "", F.array_max(F.transform(low, lambda n: level(title, n)))))
     signals = {
-        "title_exact": F.when(title != "", F.array_max(F.array(*exact, F.lit(0.0)))).otherwise(0.0),
+        "title_exact": F.coalesce(exact, F.lit(0.0)),
         "title": _held(every, F.array("clause_title")),
         "ie_name": _held(anchors, F.col("ie_names")),
         "message_name": _held(anchors, F.col("message_names")),
@@ -168,8 +186,6 @@ def selected_anchors(anchors: DataFrame, query: str, most: int = 8) -> DataFrame
 
 def query_words(query: str) -> list[str]:
     """The words of a query that count in comparisons."""
-    import re
-
     split = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", re.sub(r"[_/]+", " ", query))
     return [w for w in dict.fromkeys(split.lower().split()) if w not in OVERLAP_GENERIC]
 
