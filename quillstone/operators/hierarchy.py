@@ -21,6 +21,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.lineage import cut, discard
 
@@ -169,8 +170,69 @@ def _expand(rounds: list[DataFrame], alive: int) -> DataFrame:
     return done.drop("ring").join(on_ring, "node", "left").withColumn("state", F.when(F.col("on_ring"), "cycle").otherwise(F.col("state"))).drop("on_ring")
 
 
-def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: str = "parent") -> DataFrame:
-    """Root, full path, depth and state of every row of ``rows`` within its ``scope``.
+_HELD = "node bigint, n bigint"
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node and descendants of the nodes of a whole forest and of those spliced out of its edges; none on and below rings."""
+    rows = {r.node: r for batch in batches for r in batch.itertuples(index=False)}
+    up = {n: int(r.parent) if not pd.isna(r.parent) else None for n, r in rows.items()}
+    waiting = dict.fromkeys(rows, 0)
+    for p in up.values():
+        if p is not None:
+            waiting[p] += 1
+    below = dict.fromkeys(rows, 0)
+    ready, out = [n for n, w in waiting.items() if not w], []
+    while ready:
+        n = ready.pop()
+        size = below[n] + int(rows[n].n)
+        out.append((n, size))
+        for v, own in zip(reversed(rows[n].chain[:-1]), reversed(rows[n].held[:-1]), strict=True):
+            size += 1 + int(own)
+            out.append((v, size))
+        if (p := up[n]) is not None:
+            below[p] += size + 1
+            waiting[p] -= 1
+            if not waiting[p]:
+                ready.append(p)
+    yield pd.DataFrame(out, columns=["node", "n"])
+
+
+def _sizes(rounds: list[DataFrame], alive: int) -> DataFrame:
+    """node and n, the number of all descendants, from the recorded contraction; what is on or below a ring has none.
+
+    A leaf that is gone hands the size of its subtree to the node that it hangs on, and on the way to those spliced out
+    between them. What a node was handed waits in ``held`` until it goes itself.
+    """
+    spark = rounds[0].sparkSession
+    held = spark.createDataFrame([], _HELD)
+    parts: list[DataFrame] = []
+    size = F.sum("own").over(Window.partitionBy("end").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0))
+    written: list[DataFrame] = []
+    rested: list[DataFrame] = []
+    for nodes in rounds[1:]:
+        gone = nodes.filter("fate = 'gone'").select("parent", F.col("node").alias("end"), F.posexplode(F.concat("via.node", F.array("node"))).alias("at", "node"))
+        known = gone.join(held, "node", "left").withColumn("own", F.coalesce("n", F.lit(0)) + F.lit(1))
+        sized = cut(known.select("parent", "at", "node", size.alias("size")))
+        rested.append(sized)
+        parts.append(sized.select("node", (F.col("size") - 1).alias("n")))
+        given = sized.filter("at = 0 and parent is not null").select(F.col("parent").alias("node"), F.col("size").alias("n"))
+        kept = held.join(sized.select("node"), "node", "left_anti")
+        held = cut(kept.unionByName(given).groupBy("node").agg(F.sum("n").alias("n")))
+        discard(*written)
+        written = [held]
+    if alive <= FINISH:
+        core = rounds[-1].filter("fate <> 'gone'").select("parent", F.col("node").alias("end"), F.posexplode(F.concat("via.node", F.array("node"))).alias("at", "node"))
+        chains = core.join(held, "node", "left").groupBy("end", "parent").agg(F.sort_array(F.collect_list(F.struct("at", "node", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+        chains = chains.select(F.col("end").alias("node"), "parent", F.col("c.node").alias("chain"), F.col("c.n").alias("held"), F.element_at("c.n", -1).alias("n"))
+        parts.append(chains.coalesce(1).mapInPandas(_counted, _HELD))
+    every = cut(reduce(DataFrame.unionByName, parts, spark.createDataFrame([], _HELD)))
+    discard(*rested, *written)
+    return every
+
+
+def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: str = "parent", sizes: bool = False) -> DataFrame:
+    """Root, full path, depth and state of every row of ``rows`` within its ``scope``; and descendants, their number, with ``sizes``.
 
     (``scope``, ``name``) must be unique and ``name`` not null; ``parent`` null marks a root. Scope columns compare
     null-safe. Adds root, path (names from the root down to the row), depth (0 for a root) and state: ``ok``,
@@ -186,7 +248,10 @@ def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: s
     forest = nodes.join(has, same, "left").select(
         F.col("_node").alias("node"), F.col("_parent").alias("parent"), F.col(name).alias("name"), state.alias("state")
     )
-    known = _expand(*_contract(forest))
+    rounds, alive = _contract(forest)
+    if sizes:
+        below = _sizes(rounds, alive).select(F.col("node").alias("_node"), F.col("n").alias("descendants"))
+    known = _expand(rounds, alive)
     # A chain that hangs on a ring has no root.
     lost = F.col("state").isin("cycle", "below_cycle")
     known = known.select(
@@ -196,20 +261,21 @@ def hierarchy(rows: DataFrame, scope: list[str], name: str = "clause", parent: s
         F.when(~lost, F.size("path") - 1).alias("depth"),
         "state",
     )
-    return nodes.join(known, "_node").drop("_node")
+    whole = nodes.drop("descendants") if sizes else nodes
+    whole = whole.join(known, "_node")
+    if sizes:
+        whole = whole.join(below, "_node", "left").withColumn("descendants", F.when(lost, F.lit(0)).otherwise(F.coalesce("descendants", F.lit(0))).cast("bigint"))
+    return whole.drop("_node")
 
 
 def descendants(tree: DataFrame, scope: list[str], name: str = "clause") -> DataFrame:
-    """One row per ancestor and descendant of the rows that have a path: scope, ancestor, descendant, distance."""
+    """One row per ancestor and descendant of the rows that have a path: scope, ancestor, descendant, distance.
+
+    As many rows as the paths have steps; ``hierarchy(sizes=True)`` counts descendants without making them.
+    """
     size = F.size("path")
     return (
         tree.filter(F.col("depth") > 0)
         .select(*scope, F.col(name).alias("descendant"), size.alias("_n"), F.posexplode(F.slice("path", 1, size - 1)).alias("_at", "ancestor"))
         .select(*scope, "ancestor", "descendant", (F.col("_n") - 1 - F.col("_at")).alias("distance"))
     )
-
-
-def with_descendant_counts(tree: DataFrame, scope: list[str], name: str = "clause") -> DataFrame:
-    """``tree`` with the number of all descendants of each row; aggregated before the shuffle, so a huge tree's root is no hot key."""
-    counts = descendants(tree, scope, name).groupBy(*scope, F.col("ancestor").alias(name)).agg(F.count(F.lit(1)).alias("descendants"))
-    return tree.drop("descendants").join(counts, [*scope, name], "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))

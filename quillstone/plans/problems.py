@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import WHITE, filled
-from quillstone.operators.hierarchy import descendants, hierarchy, with_descendant_counts
+from quillstone.operators.hierarchy import descendants, hierarchy
 from quillstone.operators.references import direct_orphans, judged, orphan_references, orphan_report, references
 from quillstone.sources.tables import DOCUMENT, current_clauses, table
 
@@ -29,9 +29,9 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(orphan_references(*_tables(spark, folder)))
 
 
-def _tree(spark: SparkSession, folder: str) -> DataFrame:
+def _tree(spark: SparkSession, folder: str, sizes: bool = False) -> DataFrame:
     keep = {"doc_id": F.col("doc_id"), "parent": F.col("parent"), "clause_path": F.col("clause_path")}
-    return hierarchy(current_clauses(table(spark, folder, "clauses"), keep), DOCUMENT)
+    return hierarchy(current_clauses(table(spark, folder, "clauses"), keep), DOCUMENT, sizes=sizes)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,8 +40,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    tree = with_descendant_counts(_tree(spark, folder), DOCUMENT)
-    return tree.select(*DOCUMENT, "clause", "state", "root", "depth", F.array_join("path", "/").alias("path"), "descendants")
+    return _tree(spark, folder, sizes=True).select(*DOCUMENT, "clause", "state", "root", "depth", F.array_join("path", "/").alias("path"), "descendants")
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,14 +4,14 @@ import pytest
 
 from quillstone.operators import hierarchy as contraction
 from quillstone.operators import trees
-from quillstone.operators.hierarchy import descendants, hierarchy, with_descendant_counts
+from quillstone.operators.hierarchy import descendants, hierarchy
 
 SHAPE = "doc string, clause string, parent string, path string, depth int, node long, fate string"
 
 
-def tree(spark, edges, doc="d"):
+def tree(spark, edges, doc="d", sizes=False):
     rows = [(doc, c, p, "clash", 9, 1, "clash") for c, p in edges]
-    return hierarchy(spark.createDataFrame(rows, SHAPE), ["doc"])
+    return hierarchy(spark.createDataFrame(rows, SHAPE), ["doc"], sizes=sizes)
 
 
 def brute(edges):
@@ -47,8 +47,14 @@ def finish(request, monkeypatch):
 
 
 def check(spark, edges):
-    got = {r.clause: (r.state, r.path) for r in tree(spark, edges).collect()}
-    assert got == brute(edges)
+    rows = tree(spark, edges, sizes=True).collect()
+    wanted = brute(edges)
+    assert {r.clause: (r.state, r.path) for r in rows} == wanted
+    below = dict.fromkeys(wanted, 0)
+    for _, path in wanted.values():
+        for above in (path or [])[:-1]:
+            below[above] += 1
+    assert {r.clause: r.descendants for r in rows} == below
 
 
 def test_rounds_are_deleted(spark, monkeypatch):
@@ -80,8 +86,8 @@ def test_random_graphs(spark, seed, finish):
 
 
 def test_star_and_counts(spark):
-    rows = tree(spark, [("r", None), *[(f"k{i}", "r") for i in range(300)], ("g", "k0")])
-    counts = {r.clause: r.descendants for r in with_descendant_counts(rows, ["doc"]).collect()}
+    rows = tree(spark, [("r", None), *[(f"k{i}", "r") for i in range(300)], ("g", "k0")], sizes=True)
+    counts = {r.clause: r.descendants for r in rows.collect()}
     assert counts["r"] == 301 and counts["k0"] == 1 and counts["g"] == 0
     pairs = {(r.ancestor, r.descendant, r.distance) for r in descendants(rows, ["doc"]).filter("descendant = 'g'").collect()}
     assert pairs == {("r", "g", 2), ("k0", "g", 1)}
