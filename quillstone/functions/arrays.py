@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import col, collapse, compatible, fingerprint, without_article
+from quillstone.functions.text import col, collapse, compatible, fingerprint, once, without_article
 
 
 def _strings(x: Column) -> Column:
@@ -13,14 +13,13 @@ def _strings(x: Column) -> Column:
 
 
 def first_by(items: Column, key) -> Column:  # noqa: ANN001
-    """The items in order, without those whose ``key`` an earlier one has; one pass, so ``items`` is evaluated once."""
-    none = F.array().cast("array<string>")
+    """The items in order, without those whose ``key`` an earlier one has; items and keys are evaluated once."""
 
-    def add(acc: Column, v: Column) -> Column:
-        added = F.struct(F.array_append(acc["out"], v).alias("out"), F.array_append(acc["keys"], key(v)).alias("keys"))
-        return F.when(F.array_contains(acc["keys"], key(v)), acc).otherwise(added)
+    def kept(own: Column) -> Column:
+        first = lambda keys: F.filter(own, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return once(F.transform(own, key), first)
 
-    return F.aggregate(items, F.struct(none.alias("out"), none.alias("keys")), add, lambda acc: acc["out"])
+    return once(items, kept)
 
 
 def _changes(items: Column, kind: str, value) -> Column:  # noqa: ANN001

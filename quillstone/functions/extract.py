@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstone.functions.arrays import distinct_terms
-from quillstone.functions.text import anchor_term, col, collapse, hint_term, is_noisy_anchor, split_camel
+from quillstone.functions.text import anchor_term, col, collapse, hint_term, is_noisy_anchor, once, split_camel
 
 # The patterns of terms and references in specification texts.
 WORD = r"\b[A-Za-z][A-Za-z0-9\-]{2,}\b"
@@ -44,11 +44,6 @@ def matches(x: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(col(x), F.lit("")), F.lit(pattern), group)
 
 
-def once(value: Column, use) -> Column:  # noqa: ANN001
-    """``use(value)`` with ``value`` evaluated once, however often it is used; within lambdas nothing else shares it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def abbreviations(x: Column | str) -> Column:
     """(long_form, short_form) of 'Long Form (SF)' with a long form of at least two words."""
     pairs = F.arrays_zip(F.transform(matches(x, ABBREVIATION, 1), collapse).alias("long_form"), matches(x, ABBREVIATION, 2).alias("short_form"))
@@ -77,14 +72,15 @@ def message_names(x: Column | str) -> Column:
 
     def add(acc: Column, t: Column) -> Column:
         bare = F.btrim(t, F.lit(".,;:()"))
-        named = F.concat(acc["run"], bare)
-        ends = F.lower(F.regexp_replace(t, r"[.,;:]+$", "")).isin(MESSAGE_WORDS) & (acc["run"] != "")
+        ends = (acc["run"] != "") & F.lower(F.rtrim(t, F.lit(".,;:"))).isin(MESSAGE_WORDS)
         return F.struct(
-            F.when(ends, F.array_append(acc["out"], named)).otherwise(acc["out"]).alias("out"),
-            F.when(bare.rlike(r"^\p{Lu}") | bare.rlike(r"\d"), F.concat(named, F.lit(" "))).otherwise("").alias("run"),
+            F.when(ends, F.array_append(acc["out"], F.concat(acc["run"], bare))).otherwise(acc["out"]).alias("out"),
+            F.when(bare.rlike(r"^\p{Lu}|\d"), F.concat(acc["run"], bare, F.lit(" "))).otherwise("").alias("run"),
         )
 
-    return F.aggregate(tokens, start, add, lambda acc: acc["out"])
+    # Most texts have no such word and need not be gone through.
+    some = F.coalesce(col(x), F.lit("")).rlike(rf"(?iu)(?:{'|'.join(MESSAGE_WORDS)})[.,;:]*(?:(?U)\s|$)")
+    return F.when(some, F.aggregate(tokens, start, add, lambda acc: acc["out"])).otherwise(F.array().cast("array<string>"))
 
 
 def retrieval_weight(title: Column | str, doc_type: Column | str) -> Column:

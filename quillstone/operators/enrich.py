@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import arrays, extract
-from quillstone.functions.arrays import distinct_terms, joined
+from quillstone.functions.arrays import distinct_terms, first_by, joined
 from quillstone.functions.extract import KEYWORD_STOPWORDS, WORD, matches
 from quillstone.functions.text import collapse, strip_white
 
@@ -183,14 +183,17 @@ def anchor_source_terms(records: DataFrame) -> DataFrame:
 
 
 def registry_terms(records: DataFrame) -> DataFrame:
-    """doc_id, spec_no, release columns, term, weight, at: the weighted terms of a record in order, compounds expanded."""
+    """doc_id, spec_no, release columns, term, weight, at: the weighted terms of a record in order, compounds expanded.
+
+    A term that a record repeats is expanded once, where it comes first.
+    """
     weighted = lambda terms, w: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
     compounds = F.filter(matches("text", extract.COMPOUND_TOKEN), lambda t: t.rlike(r"\d") | F.contains(t, F.lit("_")) | t.rlike("[A-Z].*[A-Z]"))
     every = F.concat(
         weighted(F.array("clause_title"), 2.5), weighted(F.array("row_header"), 2.2), weighted(F.slice("anchor_terms", 1, 12), 1.6),
         weighted(F.slice("keywords", 1, 8), 0.8), weighted(compounds, 1.3),
     )
-    expanded = F.flatten(F.transform(every, lambda s: weighted_variants(s)))
+    expanded = F.flatten(F.transform(first_by(every, lambda s: s["term"]), lambda s: weighted_variants(s)))
     return records.select("doc_id", "spec_no", "release_data", "release", F.posexplode(expanded).alias("at", "s")).select(
         "doc_id", "spec_no", "release_data", "release", "at", "s.term", "s.weight"
     )
