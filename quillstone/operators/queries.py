@@ -53,7 +53,8 @@ def inferred_specs(queries: DataFrame, registry: DataFrame, least: float = INFER
 
 
 def known_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """query_id and alias: of every alias group of which a query holds a member, all members; ``aliases`` has canonical and alias."""
+    """query_id and alias: of every alias group of which a query holds a member, all members; ``aliases`` has canonical and alias, rows with nulls count for nothing."""
+    aliases = aliases.filter("canonical is not null and alias is not null")
     members = aliases.select("canonical", "alias").unionByName(aliases.select("canonical", F.col("canonical").alias("alias"))).distinct()
     low = queries.select("query_id", F.lower("normal").alias("text"))
     held = containing(low.select("text"), members.select(F.lower("alias").alias("term")))
