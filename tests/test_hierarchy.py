@@ -40,9 +40,9 @@ def brute(edges):
     return out
 
 
-@pytest.fixture(params=[0, 40, 10_000])
+@pytest.fixture(params=[0, 40])
 def finish(request, monkeypatch):
-    """The rounds alone, some rounds and then one task, and one round and one task: the same result."""
+    """The rounds alone, or some rounds and then one task: the same result. The other tests take one round and one task."""
     monkeypatch.setattr(contraction, "FINISH", request.param)
 
 
@@ -78,7 +78,7 @@ def test_long_chain_and_rings(spark, finish):
     check(spark, chain + rings + lost)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed, finish):
     rng = random.Random(seed)
     names = [f"c{i}" for i in range(150)]

@@ -151,8 +151,9 @@ def test_hybrid_ranks_all_lexical_matches(spark):
 
 def test_boosts_reach_the_profile():
     weights = search.Ranking(title=2.0, stage=3.0).weights()
-    plain = search.Ranking().weights()
+    plain = search.Ranking(title=1.0, stage=1.0).weights()
     assert weights["clause_title"] == 2 * plain["clause_title"] and weights["stage_hint"] == 3 * plain["stage_hint"] and weights["text"] == plain["text"]
+    assert (search.SINGLE.sparse, search.SINGLE.vector, search.ITERATIVE.sparse, search.ITERATIVE.vector) == (1.25, 0.45, 0.0, 1.0)
 
 
 def test_labels_of_terms_of_any_length(spark):
