@@ -14,19 +14,30 @@ from pyspark.sql.types import ArrayType, FloatType
 DIM = 16
 
 
-def hash_embedding(text: str | None) -> list[float]:
-    """A unit vector from the digests of the words; zeros for an empty or null text."""
+SIGNS = np.where(np.arange(DIM) % 2 == 0, 1.0, -1.0)
+
+
+def _digest(word: str) -> np.ndarray:
+    return SIGNS * np.frombuffer(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=DIM).digest(), np.uint8) / 255.0
+
+
+def hash_embedding(text: str | None, known: dict[str, np.ndarray] | None = None) -> list[float]:
+    """A unit vector from the digests of the words; zeros for an empty or null text. ``known`` keeps digests between texts."""
+    known = {} if known is None else known
     total = np.zeros(DIM)
-    signs = np.where(np.arange(DIM) % 2 == 0, 1.0, -1.0)
     for word in (text or "").split():
-        total += signs * np.frombuffer(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=DIM).digest(), np.uint8) / 255.0
+        if word not in known:
+            known[word] = _digest(word)
+        total += known[word]
     norm = np.linalg.norm(total)
     return (np.round(total / norm, 6) if norm else total).tolist()
 
 
 @F.pandas_udf(ArrayType(FloatType()))
 def hash_embeddings(texts: pd.Series) -> pd.Series:
-    return texts.map(hash_embedding)
+    """A distinct word is hashed once per batch."""
+    known: dict[str, np.ndarray] = {}
+    return texts.map(lambda t: hash_embedding(t, known))
 
 
 #: Embedding models by name; register a function from Column to Column to add one.
