@@ -1,7 +1,7 @@
 """Scoring and ranking of records: lexical, BM25, vector and hybrid; anchors and merged clauses.
 
 One query is a handful of literals, so a search is scan, filter, score and top-k without a shuffle but the last merge.
-Many queries at once go through token postings, joined on the token.
+Many queries at once meet the records in blocks (``ranking.best``), or go through token postings, joined on the token.
 """
 
 from __future__ import annotations
@@ -208,30 +208,20 @@ def tokens(x: Column | str) -> Column:
 def bm25(records: DataFrame, queries: DataFrame, weights: dict[str, float], most: int, key: str = "doc_id") -> DataFrame:
     """query_id, key, score, place: the ``most`` best records for each query (query_id, query), by weighted BM25 per field.
 
-    Only postings of tokens that some query has are shuffled. Lengths come with the postings, the averages are one row
-    per field.
+    All matches are scored, in blocks of queries and records (``ranking.best``), which read ``records`` several times.
     """
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), tokens(f).alias("tokens")) for f, w in weights.items()])
-    held = records.select(key, F.inline(fields)).withColumn("length", F.size("tokens"))
-    averages = held.groupBy("field").agg(F.avg("length").alias("average"), F.count(F.lit(1)).alias("n"))  # a row per field
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token"))
-    spread = held.select(key, "field", "weight", "length", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    postings = spread.groupBy("token", "field", key, "weight", "length").agg(F.count(F.lit(1)).alias("tf"))
-    frequencies = postings.groupBy("token", "field").agg(F.count(F.lit(1)).alias("df"))
-    known = postings.join(frequencies, ["token", "field"]).join(F.broadcast(averages), "field")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    by_token = known.select("token", key, part.alias("part")).groupBy("token", key).agg(F.sum("part").alias("part"))
-    scored = asked.join(by_token, "token").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most)
+    from quillstone.operators import ranking
+
+    found = ranking.best(records, queries, {"bm25": weights}, {"bm25": ranking.Score("bm25")}, most, key=key)
+    return found.select("query_id", key, "score", "place")
 
 
 def profile_scores(records: DataFrame, queries: DataFrame, profiles: dict[str, dict[str, float]], weight: str = "retrieval_weight", key: str = "doc_id") -> DataFrame:
     """profile, query_id, key and score of every record that a query (query_id, query) matches in a field of the profile.
 
     The score is the weighted BM25 per field times the record's ``weight``. Fields may be texts or arrays of terms. The
-    postings are the same for all profiles; the profiles' weights are a row per profile and field.
+    postings are the same for all profiles; the profiles' weights are a row per profile and field. Every match is a row:
+    for the best of each query alone, ``ranking.best`` lists none of the others.
     """
     arrays = {f for f, kind in records.dtypes if kind.startswith("array")}
     names = list(dict.fromkeys(f for p in profiles.values() for f in p))
