@@ -260,12 +260,25 @@ def best(
     none = F.array().cast("array<string>")
     of = lambda f: tokens(F.array_join(f, " ") if f in arrays else f)
     held = records.select(F.col(key).alias("key"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("counts"), F.array(*[F.coalesce(of(f), none) for f in fields]).alias("tokens"))
-    measured = records.agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.coalesce(F.avg(F.size(of(f))), F.lit(0.0)) for f in fields]).alias("average"))  # one row
 
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.explode(F.array_distinct(tokens("query"))).alias("token"))
     lists = cut(asked.groupBy("query_id").agg(F.sort_array(F.collect_list("token")).alias("words")))
     asked = cut(lists.join(lists.groupBy("words").agg(F.min("query_id").alias("list")), "words"))
-    blocks = max(1, -(-records.count() // RECORDS))
+
+    # Beside the tokens, which are never empty, '' counts the records, as field -1, and per field those with a value and their lengths.
+    one = lambda token, field, length: F.struct(token.alias("token"), field.alias("field"), length.alias("length"))
+    empty, zero = F.lit(""), F.lit(0)
+    terms = lambda ts, f: F.concat(F.array(one(empty, f, F.size(ts))), F.transform(F.array_distinct(ts), lambda t: one(t, f, zero)))
+    each = F.transform(F.array(*map(of, fields)), lambda ts, f: F.when(ts.isNotNull(), terms(ts, f)).otherwise(F.array().cast("array<struct<token:string,field:int,length:int>>")))
+    counted = records.select(F.explode(F.concat(F.array(one(empty, F.lit(-1), zero)), F.flatten(each))).alias("t")).groupBy("t.token", "t.field")
+    counted = counted.agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("t.length").alias("length"))
+    words = lists.select(F.explode("words").alias("token")).unionByName(records.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    counted = cut(counted.join(words, "token", "left_semi"))
+    whole = {r.field: (r.df, r.length) for r in counted.filter("token = ''").collect()}  # a row per field
+    n = whole.get(-1, (0.0, 0))[0]
+    average = [length / df for df, length in (whole.get(k, (1.0, 0)) for k in range(len(fields)))]
+
+    blocks = max(1, -(-int(n) // RECORDS))
     close = any(not s.lexical for s in rankings.values())
     rows = asked if close else asked.filter("query_id = list")
     parts = max(1, -(-rows.count() // QUERIES))
@@ -276,11 +289,9 @@ def best(
         return frame.select("i", "j", F.lit(tag).alias("tag"), *[values.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds_of.items()])
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    terms = F.flatten(F.transform("tokens", lambda ts, f: F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("token"), f.alias("field")))))
-    counted = held.select(F.explode(terms).alias("t")).groupBy("t.token", "t.field").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    known = rows.select("j", F.explode("words").alias("token")).distinct().join(counted, "token").groupBy("j", "token")
-    known = known.agg(*[F.coalesce(F.sum(F.when(F.col("field") == k, F.col("df"))), F.lit(0.0)).alias(f"d{k}") for k in range(len(fields))]).crossJoin(F.broadcast(measured))
-    numbers = F.concat(F.array("n", *[f"d{k}" for k in range(len(fields))]), "average")
+    known = rows.select("j", F.explode("words").alias("token")).distinct().join(counted.drop("length"), "token").groupBy("j", "token")
+    known = known.agg(*[F.coalesce(F.sum(F.when(F.col("field") == k, F.col("df"))), F.lit(0.0)).alias(f"d{k}") for k in range(len(fields))])
+    numbers = F.array(F.lit(n), *[f"d{k}" for k in range(len(fields))], *map(F.lit, average))
     placed_in = lambda frame: frame.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("i"), every(parts).alias("j"))
     frames = [
         row(known.withColumn("i", every(blocks)), _WORD, tokens=F.array(F.array("token")), numbers=numbers),

@@ -11,7 +11,7 @@ from quillstone.functions.extract import GENERIC_TITLES, OVERLAP_GENERIC
 from quillstone.functions import embeddings
 from quillstone.functions.text import spec_number
 from quillstone.lineage import cut
-from quillstone.operators import aggregate, enrich, evaluate, hops, search, select, trees
+from quillstone.operators import aggregate, enrich, evaluate, hops, ranking, search, select, trees
 from quillstone.operators import queries as asking
 from quillstone.operators.hierarchy import hierarchy
 from quillstone.operators.search import ENRICHED_PROFILES, GENERIC_ANCHOR_TERMS, PROFILES
@@ -167,6 +167,11 @@ _UNITS = """v as (select doc_id, row_id, list_transform(dense_vector, lambda x:
 _CLOSE = "case when d.v is null or a.v is null then 0 else 1 / (1 + acos(greatest(least(list_cosine_similarity(d.v, a.v), 1), -1))) end"
 
 
+def _ranked_records(spark: SparkSession, folder: str, profiles: dict[str, dict[str, float]]) -> DataFrame:
+    """What a search by enriched profiles reads of the records, written once."""
+    return _enriched(spark, folder, "row_id", "doc_id", "retrieval_weight", *dict.fromkeys(["clause_title", *(f for p in profiles.values() for f in p)]))
+
+
 @query(f"""with {_profiles_sql(ENRICHED_PROFILES)}
     select profile, query_id, cast(row_number() over (partition by profile, query_id order by score desc, doc_id) as integer) as place, doc_id, score from ps qualify place <= 10""")
 def r10_r11_enriched_bm25(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,6 +198,12 @@ def v2_v3_all_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest_to_each(vectors, asked, "embedding", 20, "vec_id").select("query_id", "place", "vec_id", "score")
 
 
+def _vectors(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Vectors of the current records, and those of the questions, which are records themselves."""
+    rows = current_records(table(spark, folder, "records"), {"row_id": F.col("row_id"), "v": F.when(F.size("dense_vector") == 64, F.col("dense_vector"))})
+    return {"vectors": rows, "asked_vectors": rows.filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "v")}
+
+
 def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Unit vectors of the current records, and those of the questions, which are records themselves."""
     rows = current_records(table(spark, folder, "records"), {"row_id": F.col("row_id"), "unit": search.unit("dense_vector", 64)})
@@ -204,10 +215,11 @@ def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as place, doc_id, score from h qualify place <= 10""")
 def r11_r12_r13_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Every lexical match of each question, ranked by BM25 and closeness together."""
-    ranking = search.SINGLE
-    sparse = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), {ranking.profile: ranking.weights()})
-    boosts = {"sparse": F.lit(ranking.sparse), "vector": F.lit(ranking.vector)}
-    return search.hybrid(sparse.withColumns(boosts), *_hybrid_vectors(spark, folder), ["query_id"], 10).select("query_id", "place", "doc_id", "score")
+    single = search.SINGLE
+    profiles = {single.profile: single.weights()}
+    rows = _ranked_records(spark, folder, profiles)
+    scores = {"hybrid": ranking.Score(single.profile, single.sparse, single.vector)}
+    return ranking.best(rows, _titles(rows), profiles, scores, 10, "retrieval_weight", **_vectors(spark, folder)).select("query_id", "place", "doc_id", "score")
 
 
 @query(f"""with {CORPUS}, s as (select doc_id, stage_hint, length(text)::double as score from corpus where stage_hint in ('Stage 2', 'Stage 3'))

@@ -49,6 +49,10 @@ def test_bm25_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r10_o1_bm25")
 
 
+def test_hybrid_shuffles_no_pairs(spark, alike):
+    no_pair_is_shuffled(spark, alike, "r11_r12_r13_hybrid")
+
+
 def test_blocks_rank_as_all_pairs_do(spark, monkeypatch):
     monkeypatch.setattr(ranking, "RECORDS", 60)
     monkeypatch.setattr(ranking, "QUERIES", 5)
