@@ -176,8 +176,9 @@ def _ranked_records(spark: SparkSession, folder: str, profiles: dict[str, dict[s
     select profile, query_id, cast(row_number() over (partition by profile, query_id order by score desc, doc_id) as integer) as place, doc_id, score from ps qualify place <= 10""")
 def r10_r11_enriched_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The profiles with their extracted fields and the records' weights; ``r10_o1_bm25`` ranks by plain fields alone."""
-    scores = search.profile_scores(_enriched(spark, folder), _questions(spark, folder), ENRICHED_PROFILES)
-    return search.placed(scores, ["profile", "query_id"], 10).select("profile", "query_id", "place", "doc_id", "score")
+    rows = _ranked_records(spark, folder, ENRICHED_PROFILES)
+    found = ranking.best(rows, _titles(rows), ENRICHED_PROFILES, {p: ranking.Score(p) for p in ENRICHED_PROFILES}, 10, "retrieval_weight")
+    return found.select(F.col("ranking").alias("profile"), "query_id", "place", "doc_id", "score")
 
 
 @query("""with q as (select list_transform(embedding, lambda x: x::double) as q from embeddings where vec_id = 0)

@@ -49,6 +49,10 @@ def test_bm25_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r10_o1_bm25")
 
 
+def test_enriched_bm25_shuffles_no_pairs(spark, alike):
+    no_pair_is_shuffled(spark, alike, "r10_r11_enriched_bm25")
+
+
 def test_hybrid_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r11_r12_r13_hybrid")
 
