@@ -446,10 +446,8 @@ _METRICS = """w as (select distinct c.row_id as query_id, d.doc_id from corpus c
 
 
 def _evaluated(spark: SparkSession, folder: str, profile: str) -> DataFrame:
-    rows = corpus(spark, folder)
-    asked = rows.filter("row_id % 100 = 0 and clause_title <> ''").select(F.col("row_id").alias("query_id"), F.lower("clause_title").alias("t"))
-    relevant = asked.join(rows.select("doc_id", F.lower("clause_title").alias("t")), "t").select("query_id", "doc_id")
-    return evaluate.ranking_metrics(search.bm25(rows, _questions(spark, folder), PROFILES[profile], 10), relevant)
+    rows = _searched(spark, folder, PROFILES[profile])
+    return evaluate.metrics_of(*evaluate.titled(search.bm25(rows, _titles(rows), PROFILES[profile], 10), rows))
 
 
 @query(f"with {_bm25_sql(PROFILES['bm25']).replace(' f as materialized', ' fld as materialized').replace(' from f group by field', ' from fld group by field').replace(' from f) group by all', ' from fld) group by all')}, {_METRICS} select * from m")

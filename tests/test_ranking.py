@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillstone.operators import ranking, search
+from quillstone.operators import evaluate, ranking, search
 
 #: Of these, a record in 100 asks for the title that all have.
 ALIKE = 4000
@@ -49,6 +49,10 @@ def test_bm25_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r10_o1_bm25")
 
 
+def test_metrics_shuffle_no_pairs(spark, alike):
+    no_pair_is_shuffled(spark, alike, "y1_y2_y3_j13_metrics")
+
+
 def test_enriched_bm25_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r10_r11_enriched_bm25")
 
@@ -85,3 +89,10 @@ def test_nothing_to_rank(spark):
     rows = spark.createDataFrame([("a", "x")], "doc_id string, text string")
     asked = spark.createDataFrame([(1, "x")], "query_id bigint, query string")
     assert search.bm25(rows.limit(0), asked, {"text": 1.0}, 5).count() == 0 == search.bm25(rows, asked.limit(0), {"text": 1.0}, 5).count()
+
+
+def test_metrics_by_title_are_those_of_pairs(spark):
+    rows = spark.createDataFrame([(i * 50, f"d{i}", t) for i, t in enumerate(["A", "a", "b", "", "B", "c", "a"])], "row_id bigint, doc_id string, clause_title string")
+    hits = spark.createDataFrame([(0, "d1", 1), (0, "d2", 2), (0, "d6", 3), (100, "d0", 1), (200, "d4", 7), (300, "d5", 1)], "query_id bigint, doc_id string, place int")
+    pairs = spark.createDataFrame([(0, "d0"), (0, "d1"), (0, "d6"), (100, "d2"), (100, "d4"), (200, "d2"), (200, "d4"), (300, "d0"), (300, "d1"), (300, "d6")], "query_id bigint, doc_id string")
+    assert sorted(map(tuple, evaluate.metrics_of(*evaluate.titled(hits, rows)).collect())) == sorted(map(tuple, evaluate.ranking_metrics(hits, pairs).collect()))
