@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,11 +115,6 @@ def _bm25_sql(weights: dict[str, float]) -> str:
     top as materialized (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as place from s qualify place <= 10)"""
 
 
-def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """Queries of a search: every record whose id is divisible by 100, by its title."""
-    return corpus(spark, folder).filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.col("clause_title").alias("query"))
-
-
 def _searched(spark: SparkSession, folder: str, weights: dict[str, float]) -> DataFrame:
     """What a search by BM25 reads of the current records several times, written once."""
     return cut(corpus(spark, folder).select("row_id", "doc_id", *dict.fromkeys(["clause_title", *weights])))
@@ -205,12 +198,6 @@ def _vectors(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"vectors": rows, "asked_vectors": rows.filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "v")}
 
 
-def _hybrid_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors of the current records, and those of the questions, which are records themselves."""
-    rows = current_records(table(spark, folder, "records"), {"row_id": F.col("row_id"), "unit": search.unit("dense_vector", 64)})
-    return rows, rows.filter("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), "unit")
-
-
 @query(f"""with {_profiles_sql({search.SINGLE.profile: search.SINGLE.weights()})}, {_UNITS},
     h as (select query_id, ps.doc_id, round(score * {search.SINGLE.sparse} + {_CLOSE} * 9 * {search.SINGLE.vector}, 4) as score from ps left join v d on d.doc_id = ps.doc_id left join v a on a.row_id = ps.query_id)
     select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as place, doc_id, score from h qualify place <= 10""")
@@ -471,14 +458,12 @@ SWEEP = [(p, sparse, vector) for p in ENRICHED_PROFILES for sparse, vector in ((
       from (select sweep from sw) s cross join nr left join f using (sweep, query_id) join i i5 on i5.k = least(n, 5) join i i10 on i10.k = least(n, 10))
     select sweep as profile, count(*) as queries, round(avg(rr), 4) as rr, round(avg(recall_5), 4) as recall_5, round(avg(recall_10), 4) as recall_10, round(avg(ndcg_5), 4) as ndcg_5, round(avg(ndcg_10), 4) as ndcg_10 from m group by sweep""")
 def y4_g15_profile_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _enriched(spark, folder)
-    sweep = spark.createDataFrame([(f"{p}:{s}:{v}", p, s, v) for p, s, v in SWEEP], "sweep string, profile string, sparse double, vector double")
-    sparse = search.profile_scores(rows, _questions(spark, folder), ENRICHED_PROFILES).join(F.broadcast(sweep), "profile").drop("profile")
-    hits = cut(search.hybrid(sparse, *_hybrid_vectors(spark, folder), ["sweep", "query_id"], 10).select("sweep", "query_id", "doc_id", "place"))
-    asked = rows.filter("row_id % 100 = 0 and clause_title <> ''").select(F.col("row_id").alias("query_id"), F.lower("clause_title").alias("t"))
-    relevant = cut(asked.join(rows.select("doc_id", F.lower("clause_title").alias("t")), "t").select("query_id", "doc_id"))
-    each = [evaluate.ranking_metrics(hits.filter(F.col("sweep") == f"{p}:{s}:{v}"), relevant).withColumn("profile", F.lit(f"{p}:{s}:{v}")) for p, s, v in SWEEP]
-    return evaluate.mean_metrics(reduce(DataFrame.unionByName, each))
+    rows = _ranked_records(spark, folder, ENRICHED_PROFILES)
+    sweep = {f"{p}:{s}:{v}": ranking.Score(p, s, v) for p, s, v in SWEEP}
+    hits = ranking.best(rows, _titles(rows), ENRICHED_PROFILES, sweep, 10, "retrieval_weight", **_vectors(spark, folder)).withColumnRenamed("ranking", "profile")
+    found, sizes = evaluate.titled(hits, rows)
+    each = sizes.crossJoin(F.broadcast(spark.createDataFrame([(name,) for name in sweep], "profile string")))  # a row per member of the sweep
+    return evaluate.mean_metrics(evaluate.metrics_of(found, each, ("profile", "query_id")))
 
 
 # --- sinks and embeddings ----------------------------------------------------------------------------------------------

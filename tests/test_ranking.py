@@ -61,6 +61,10 @@ def test_hybrid_shuffles_no_pairs(spark, alike):
     no_pair_is_shuffled(spark, alike, "r11_r12_r13_hybrid")
 
 
+def test_sweep_shuffles_no_pairs(spark, alike):
+    no_pair_is_shuffled(spark, alike, "y4_g15_profile_sweep")
+
+
 def test_blocks_rank_as_all_pairs_do(spark, monkeypatch):
     monkeypatch.setattr(ranking, "RECORDS", 60)
     monkeypatch.setattr(ranking, "QUERIES", 5)
